@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, decontaminate, flac, near, packing, quality, surrogates
+from . import chat, decontaminate, edits, flac, near, packing, quality, surrogates
 
 
 def vocabulary(name: str) -> str:
@@ -38,6 +38,10 @@ def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digest(flac.encode_texts(table(spark, sf_dir, "documents")))
 
