@@ -24,8 +24,8 @@ from .shared import column, encoder, runs, written
 
 #: A shard's tokens and pieces, at most in the mean; both bound a task's memory.
 SHARD_TOKENS, SHARD_PIECES = 6_000_000, 60_000
-#: Rounds of local search in which every underfull bin is tried, and pieces looked through at once.
-ROUNDS, WINDOW = 4, 4096
+#: Rounds of local search, bins in a row that may stay before a round ends, and underfull bins looked through at once.
+ROUNDS, PATIENCE, WINDOW = 2, 12, 2048
 
 
 def cut(length: int, room: int) -> list[tuple[int, int]]:
@@ -154,9 +154,9 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, room: int, rounds:
     for _ in range(rounds):
         used = np.flatnonzero(fill > 0)
         under = used[fill[used] < room]
-        changed = False
+        changed, stayed = False, 0
         for a in under[np.argsort(fill[under], kind="stable")].tolist():
-            if np.count_nonzero(fill) <= least:
+            if np.count_nonzero(fill) <= least or stayed >= PATIENCE:
                 break
             if not 0 < fill[a] < room:
                 continue
@@ -166,6 +166,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, room: int, rounds:
                 if not (bins[a] and improve(a, window)):
                     break
                 changed = True
+            stayed = 0 if fill[a] == 0 else stayed + 1
         if not changed:
             break
     return [b for b in bins if b]

@@ -87,7 +87,7 @@ class ChunkEncoder:
     """
 
     #: Chunks and pieces kept; at the limit a cache starts anew.
-    LIMIT = 1_000_000
+    LIMIT, PIECES = 800_000, 250_000
 
     def __init__(self, path: str, spaced: bool):
         """spaced: the vocabulary keeps white space (a chunk then takes the space or line end before it along)."""
@@ -100,7 +100,7 @@ class ChunkEncoder:
         self.spaced = spaced
         self.split = (SPACED if spaced else DENSE).findall
         self.letters = byte_letters()
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -125,9 +125,9 @@ class ChunkEncoder:
         for piece in self.split(chunk if self.spaced else chunk.lower()):
             got = self.pieces.get(piece)
             if got is None:
-                if len(self.pieces) >= self.LIMIT:
+                if len(self.pieces) >= self.PIECES:
                     self.pieces.clear()
-                got = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+                got = self.pieces[piece] = tuple([t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
             ids += got
         return ids
 
