@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat, coder, decontaminate, edits, flac, near, packing, quality, surrogates
+from . import chat, coder, decontaminate, edits, flac, katz, near, packing, quality, surrogates
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +18,10 @@ def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op3_context_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coder.read_files(coder.write_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
