@@ -29,7 +29,7 @@ LEAF, FULL = 64, 192
 #: Characters before an edit that a pre-token ending there may have looked at.
 CONTEXT = 3
 #: Pre-tokens whose counts a worker keeps.
-KEPT = 600_000
+KEPT = 300_000
 #: Fixed value: white space of Latin-1 by Unicode's property.
 WHITE = r"\t-\r \x85\xa0"
 LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{WHITE}{LETTERS}{NUMBERS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -196,7 +196,7 @@ def plant(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
         counter = Counter(path)
         for batch in batches:
             at = 0
-            for texts in runs(column(batch, "text"), lambda t: len(t or ""), 4_000_000):
+            for texts in runs(column(batch, "text"), lambda t: len(t or ""), 2_000_000):
                 trees = [planted(t or "", counter) for t in texts]
                 own = batch.slice(at, len(texts))
                 at += len(texts)
@@ -215,17 +215,19 @@ def apply_lists(state: DataFrame, path: str, edits: str = "edits") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
         for batch in batches:
-            out = []
-            for doc_id, text, packed, before, todo in zip(*(column(batch, c) for c in ("doc_id", "text", "tree", "n_tokens", edits))):
-                tree, again = CountTree.unpacked(packed), 0
-                for e in todo or []:
-                    if e is not None:
-                        text, n = edited(text, tree, e["place"] or 0, e["removed"] or 0, e["inserted"] or "", counter)
-                        again += n
-                out.append((doc_id, text, tree.packed(), before, tree.total, again))
-            kinds = [batch.schema.field(0).type, pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            columns = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "text", "tree", "n_before", "n_tokens", "n_encoded"])
+            at = 0
+            for size in map(len, runs(batch.column(1).to_pylist(), lambda t: len(t or ""), 2_000_000)):
+                part, out = batch.slice(at, size), []
+                at += size
+                for doc_id, text, packed, before, todo in zip(*(column(part, c) for c in ("doc_id", "text", "tree", "n_tokens", edits))):
+                    tree, again = CountTree.unpacked(packed), 0
+                    for e in todo or []:
+                        if e is not None:
+                            text, n = edited(text, tree, e["place"] or 0, e["removed"] or 0, e["inserted"] or "", counter)
+                            again += n
+                    out.append((doc_id, text, tree.packed(), before, tree.total, again))
+                kinds = [batch.schema.field(0).type, pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "text", "tree", "n_before", "n_tokens", "n_encoded"])
 
     return state.select("doc_id", "text", "tree", "n_tokens", edits).mapInArrow(run, f"doc_id {kind}, text string, tree binary, n_before long, n_tokens long, n_encoded long")
 

@@ -72,14 +72,27 @@ def design(features: np.ndarray) -> np.ndarray:
 
 
 def calibrate(features: np.ndarray, good: np.ndarray, weight: np.ndarray) -> list[float]:
-    """Weighted logistic regression by Newton's method, with a slight ridge."""
-    x, w = design(features), np.zeros(4)
-    ridge = 1e-2 * np.diag([0, 1, 1, 1])
-    for _ in range(30):
+    """Weighted logistic regression by Newton's method with a slight ridge. A step is halved until the loss falls, so it cannot swing away."""
+    x = design(features)
+    ridge = 1e-2 * np.diag([0.0, 1, 1, 1])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - good * z)).sum() + w @ ridge @ w / 2)
+
+    w, now = np.zeros(4), loss(np.zeros(4))
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(4), x.T @ (weight * (good - p)) - ridge @ w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(4)
+        step = np.linalg.solve(curve, x.T @ (weight * (good - p)) - ridge @ w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) >= now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w + size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9 * max(1.0, before):
             break
     return w.tolist()
 
