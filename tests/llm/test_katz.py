@@ -19,15 +19,17 @@ def brute(rows):
     one, two = (katz.Discounts(collections.Counter(c.values())) for c in (c1, c2))
     of = lambda d, c: float(d.of(np.array([c]))[0])
     unknown = 1 - sum(of(one, c) for c in c1.values()) / n
-    p = lambda w: of(one, c1[w]) / n if w in c1 else unknown
+    share = {w: of(one, c) / n for w, c in c1.items()}
+    p = lambda w: share.get(w, unknown)
+    assert abs(sum(share.values()) + unknown - 1) < 1e-9
     context = dict(c1) | {"<s>": len(learnt)}
     after = collections.defaultdict(list)
     for (v, w), c in c2.items():
         after[v].append((w, of(two, c) / context[v]))
     alpha = {v: (1 - sum(q for _, q in l)) / (1 - sum(p(w) for w, _ in l)) for v, l in after.items()}
     seen = {(v, w): q for v, l in after.items() for w, q in l}
-    for v, l in after.items():  # every context sums to one
-        rest = sum(p(w) for w in c1 if (v, w) not in seen) + unknown
+    for k, (v, l) in enumerate(after.items()):  # every context sums to one; the first ones word by word
+        rest = sum(p(w) for w in c1 if (v, w) not in seen) + unknown if k < 40 else 1 - sum(p(w) for w, _ in l)
         assert abs(sum(q for _, q in l) + alpha[v] * rest - 1) < 1e-9
     out = []
     for i, w in tokens:
