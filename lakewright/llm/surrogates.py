@@ -42,6 +42,8 @@ SYLLABLES = {
     "latin": ["ba", "bel", "cor", "dan", "der", "el", "fen", "gar", "hol", "ing", "kel", "lan", "mar", "mon", "nor", "ost", "per", "rin", "sel", "tor", "ul", "van", "wen", "zar"],
     "cyrillic": ["ба", "бел", "вор", "дан", "дер", "ел", "жен", "гар", "хол", "ин", "кел", "лан", "мар", "мон", "нор", "ост", "пер", "рин", "сел", "тор", "ул", "ван", "вен", "зар"],
 }
+# Country calling codes of one and of two digits; all others have three.
+CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 #: Kind and pattern; the first kind that fits a found text is its kind.
@@ -74,9 +76,8 @@ def digits(s: Column) -> Column:
 
 
 def country(e: Column) -> Column:
-    """The country code of a telephone number: the digits before the first separator, else two."""
-    code = F.regexp_extract(e, r"^\+([0-9]{1,3})[ .(-]", 1)
-    return F.when(F.length(code) > 0, code).otherwise(F.substring(e, 2, 2))
+    """The country code of a telephone number, from its digits alone, so that all writings of a number agree."""
+    return F.regexp_extract(digits(e), f"^({CODES}|[0-9]{{3}})", 1)
 
 
 def gender(e: Column) -> Column:
