@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import runs, utf8, written
+from .shared import arrow_map, runs, utf8, written
 from .words import ALPHANUMERIC, hashed, mix
 
 #: Words of a window; words by which the array is ordered; leading words that a place must share with a window.
@@ -232,7 +232,7 @@ def _scan(docs: DataFrame, rows: list[tuple], with_spans: bool) -> DataFrame:
                 [*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*batch.schema.names, *(f.name for f in schema.fields[-4:])]
             )
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import runs, utf8, written
+from .shared import arrow_map, runs, utf8, written
 from .words import WHITE, hashed, mix, ngrams
 
 N, THRESHOLD, RECALL, MAX_BANDS = 5, 0.8, 0.9999, 32
@@ -93,7 +93,7 @@ def sketched(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
                 )
                 at += len(part)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, n_grams long, bands array<long>")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, k1 long, k2 long, n_grams long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -115,7 +115,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sets, pa.binary()), *others], names=["k1", "k2", "grams", *batch.schema.names[1:]])
                 at += len(part)
 
-    return docs.mapInArrow(run, kind)
+    return arrow_map(docs, run, kind)
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, encoder, runs, written
+from .shared import arrow_map, column, encoder, runs, written
 
 #: A shard's tokens and pieces, at most in the mean; both bound a task's memory.
 SHARD_TOKENS, SHARD_PIECES = 6_000_000, 60_000
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, room: int = 2048) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, room: int) -> list[list[int]]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import runs, utf8
+from .shared import arrow_map, runs, utf8
 
 #: Labelled rows of a class that give the dictionary its text, and further ones for the calibration.
 DICTIONARY_DOCS, CALIBRATION_DOCS = 2000, 1500
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             scores = model.scores(np.array(found if of else np.zeros((batch.num_rows, 3)), float).reshape(-1, 3))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

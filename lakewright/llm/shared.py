@@ -192,6 +192,26 @@ def encoder(path: str, spaced: bool) -> ChunkEncoder:
     return ChunkEncoder(path, spaced)
 
 
+#: Rows and bytes of a batch between the JVM and Python, so that neither side holds more than a few copies of that.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow with bounded batches; a worker gives its buffers back when a partition ends. The session's own settings hold where they are smaller."""
+    conf = df.sparkSession.conf
+    for what, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.max{what}PerBatch"
+        now = re.fullmatch(r"(\d+)b?", conf.get(name), re.I)
+        if not now or not 0 < int(now[1]) <= most:
+            conf.set(name, str(most))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def pieces_of(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that further or clashing ones don't matter."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
