@@ -24,8 +24,6 @@ from .shared import arrow_map, column, encoder, runs, written
 
 #: A shard's tokens and pieces, at most in the mean; both bound a task's memory.
 SHARD_TOKENS, SHARD_PIECES = 6_000_000, 60_000
-#: Rounds of local search, bins in a row that may stay before a round ends, and underfull bins looked through at once.
-ROUNDS, PATIENCE, WINDOW = 2, 12, 2048
 
 
 def cut(length: int, room: int) -> list[tuple[int, int]]:
@@ -81,94 +79,127 @@ def best_fit(lengths: np.ndarray, room: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, room: int, rounds: int = ROUNDS) -> list[list[int]]:
-    """Bins after moves and exchanges between underfull ones until none helps, no bin can go, or the rounds are over.
+def sums(lengths: list[int]) -> tuple[int, int]:
+    """Bit sets of the lengths of single pieces, and of the sums of two."""
+    ones = twos = 0
+    for n in lengths:
+        twos |= ones << n
+        ones |= 1 << n
+    return ones, twos
 
-    The emptiest bin gives: a piece moves into room elsewhere, or takes the place of one or two
+
+def above(found: int, most: int) -> int:
+    """Bit set of the numbers that are 1 to most above one of those found."""
+    out, span = found << 1, 1
+    while span < most:
+        step = min(span, most - span)
+        out |= out << step
+        span += step
+    return out
+
+
+def bits(found: int) -> list[int]:
+    out = []
+    while found:
+        out.append((found & -found).bit_length() - 1)
+        found &= found - 1
+    return out
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, room: int) -> list[list[int]]:
+    """Bins after moves and exchanges between underfull ones until none helps or no bin can go.
+
+    The emptier bin gives: a piece moves into room elsewhere, or takes the place of one or two
     shorter pieces, or two of its pieces take the place of one. What it gets back is shorter by
-    what the other bin gains, and the other bin is at least as full, so squares grow.
+    what the other bin gains, and the other bin is at least as full, so squares grow and the search
+    ends: with a pass over all underfull bins, each against all others, that changes nothing.
+
+    What an underfull bin would accept is kept as bit sets over sizes, one column a bin: from one
+    piece or from two, and to be full or just fuller.
     """
+    bins = [list(b) for b in bins]
+    size = lengths.tolist()
     fill = np.array([int(lengths[b].sum()) for b in bins], np.int64)
     least = -(-int(fill.sum()) // room)
-    bins = [list(b) for b in bins]
-
-    def improve(a: int, window: np.ndarray) -> bool:
-        """One change that takes from bin a and brings another bin of the window nearest to full."""
-        others = window[(window != a) & (fill[window] >= fill[a]) & (fill[window] < room)]
-        if not len(others):
-            return False
-        left = room - fill[others]
-        mine = bins[a]
-        mine_len = lengths[mine]
+    used = len(bins)
+    parts = [(0, 0)] * len(bins)
+    width = room // 64 + 1
+    accepts = np.zeros((4, width, len(bins)), np.uint64)
+
+    def refresh(b: int) -> None:
+        left = room - int(fill[b])
+        if not 0 < left < room:
+            accepts[:, :, b] = 0
+            return
+        ones, twos = parts[b] = sums([size[i] for i in bins[b]])
+        for k, (taken, fits) in enumerate(((1 | ones | twos, lambda t: t << left), (ones, lambda t: t << left), (1 | ones | twos, lambda t: above(t, left)), (ones, lambda t: above(t, left)))):
+            accepts[k, :, b] = np.frombuffer((fits(taken) & ((1 << room + 1) - 1)).to_bytes(8 * width, "little"), np.uint64)
+
+    def partners(a: int) -> list[int]:
+        """The bins that bin a can give to: one that gets full if there is any, or else all, the fullest first."""
+        given = [np.frombuffer(g.to_bytes(8 * width, "little"), np.uint64) for g in parts[a]]
+        allowed = fill >= fill[a]
+        allowed[a] = False
+        found = np.zeros(0, np.int64)
+        for first in (0, 2):
+            hits = np.zeros(len(bins), np.uint64)
+            for k in (0, 1):
+                for w in np.flatnonzero(given[k]).tolist():
+                    hits |= accepts[first + k, w] & given[k][w]
+            found = np.flatnonzero((hits != 0) & allowed)
+            if len(found):
+                found = found[np.argsort(-fill[found], kind="stable")]
+                return found[:1].tolist() if first == 0 else found.tolist()
+        return []
+
+    def pieces_of(b: int, total: int) -> list[int]:
+        """One piece of a bin, or else two, of a total length."""
+        seen: dict[int, int] = {}
+        for i in bins[b]:
+            if size[i] == total:
+                return [i]
+        for i in bins[b]:
+            if total - size[i] in seen:
+                return [seen[total - size[i]], i]
+            seen[size[i]] = i
+        return []
+
+    def improve(a: int) -> bool:
+        """One change that takes from bin a and brings another bin as near to full as can be."""
         best = None  # (room left after it, other bin, given, taken)
-        for g, n in zip(mine, mine_len.tolist()):
-            rest = np.where(left >= n, left - n, room)
-            k = int(rest.argmin())
-            if rest[k] < room and (best is None or rest[k] < best[0]):
-                best = (int(rest[k]), int(others[k]), [g], [])
-        if best is not None:
-            return apply(a, best)
-        owner = np.concatenate([np.full(len(bins[b]), k) for k, b in enumerate(others.tolist())])
-        items = np.concatenate([np.array(bins[b]) for b in others.tolist()])
-        size = lengths[items]
-        pair_i, pair_j, pair_owner = [], [], []
-        starts = np.searchsorted(owner, np.arange(len(others) + 1))
-        for k in range(len(others)):
-            lo, hi = int(starts[k]), int(starts[k + 1])
-            if 2 <= hi - lo <= 24:
-                i, j = np.triu_indices(hi - lo, 1)
-                pair_i.append(i + lo)
-                pair_j.append(j + lo)
-                pair_owner.append(np.full(len(i), k))
-        if pair_i:
-            pair_i, pair_j, pair_owner = map(np.concatenate, (pair_i, pair_j, pair_owner))
-            pair_size = size[pair_i] + size[pair_j]
-        gives = [([g], int(n)) for g, n in zip(mine, mine_len)]
-        short = mine[:24]
-        twos = [([short[i], short[j]], int(lengths[short[i]] + lengths[short[j]])) for i in range(len(short)) for j in range(i)]
-        for given, n in gives + twos:
-            gain = n - size
-            rest = np.where((gain > 0) & (gain <= left[owner]), left[owner] - gain, room)
-            k = int(rest.argmin())
-            if rest[k] < room and (best is None or rest[k] < best[0]):
-                best = (int(rest[k]), int(others[owner[k]]), given, [int(items[k])])
-            if len(given) == 1 and len(pair_owner):
-                gain = n - pair_size
-                rest = np.where((gain > 0) & (gain <= left[pair_owner]), left[pair_owner] - gain, room)
-                k = int(rest.argmin())
-                if rest[k] < room and (best is None or rest[k] < best[0]):
-                    best = (int(rest[k]), int(others[pair_owner[k]]), given, [int(items[pair_i[k]]), int(items[pair_j[k]])])
-            if best is not None and best[0] == 0:
-                break
-        return best is not None and apply(a, best)
-
-    def apply(a: int, change) -> bool:
-        _, b, given, taken = change
+        for b in partners(a):
+            left = room - int(fill[b])
+            ones, twos = parts[b]
+            for given, taken in ((parts[a][0], 1 | ones | twos), (parts[a][1], ones)):
+                for n in bits(given):
+                    low = max(n - left, 0)
+                    rest = taken >> low
+                    t = low + (rest & -rest).bit_length() - 1
+                    if rest and t < n and (best is None or left - n + t < best[0]):
+                        best = (left - n + t, b, n, t)
+        if best is None:
+            return False
+        _, b, n, t = best
+        given, taken = pieces_of(a, n), pieces_of(b, t)
         bins[a] = [i for i in bins[a] if i not in given] + taken
         bins[b] = [i for i in bins[b] if i not in taken] + given
-        moved = int(lengths[given].sum() - (lengths[taken].sum() if taken else 0))
-        fill[a] -= moved
-        fill[b] += moved
+        fill[a] -= n - t
+        fill[b] += n - t
+        refresh(a)
+        refresh(b)
         return True
 
-    for _ in range(rounds):
-        used = np.flatnonzero(fill > 0)
-        under = used[fill[used] < room]
-        changed, stayed = False, 0
+    if used > least:
+        for b in range(len(bins)):
+            refresh(b)
+    changed = True
+    while changed and used > least:
+        changed = False
+        under = np.flatnonzero((fill > 0) & (fill < room))
         for a in under[np.argsort(fill[under], kind="stable")].tolist():
-            if np.count_nonzero(fill) <= least or stayed >= PATIENCE:
-                break
-            if not 0 < fill[a] < room:
-                continue
-            open_bins = np.flatnonzero((fill > 0) & (fill < room))
-            window = open_bins[np.argsort(-fill[open_bins], kind="stable")][:WINDOW]
-            for _ in range(64):
-                if not (bins[a] and improve(a, window)):
-                    break
+            while 0 < fill[a] < room and used > least and improve(a):
                 changed = True
-            stayed = 0 if fill[a] == 0 else stayed + 1
-        if not changed:
-            break
+                used -= int(fill[a] == 0)
     return [b for b in bins if b]
 
 

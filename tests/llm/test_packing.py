@@ -29,6 +29,33 @@ def test_search_empties_bins():
     assert sorted(i for b in found for i in b) == list(range(len(lengths)))
 
 
+def helpful(bins, lengths, room):
+    """Whether a move, or an exchange of one for one or two or of two for one, fills a bin that is at least as full as the giving one."""
+    fills = [sum(lengths[i] for i in b) for b in bins]
+    ones = [{lengths[i] for i in b} for b in bins]
+    twos = [{lengths[i] + lengths[j] for k, i in enumerate(b) for j in b[:k]} for b in bins]
+    for a in range(len(bins)):
+        for b in range(len(bins)):
+            left = room - fills[b]
+            if a == b or not fills[a] <= fills[b] < room:
+                continue
+            if any(0 < n - t <= left for n in ones[a] for t in {0} | ones[b] | twos[b]) or any(0 < n - t <= left for n in twos[a] for t in ones[b]):
+                return True
+    return False
+
+
+def test_search_ends_where_nothing_helps():
+    rng = np.random.default_rng(5)
+    ended = 0
+    for low, high, count, room in [(300, 1200, 1500, 2048), (600, 1100, 1000, 2048), (22, 29, 900, 64), (14, 31, 900, 80)]:
+        lengths = rng.integers(low, high, count)
+        found = packing.local_search(packing.best_fit(lengths, room), lengths, room)
+        if len(found) > -(-int(lengths.sum()) // room):
+            ended += 1
+            assert not helpful(found, lengths.tolist(), room)
+    assert ended >= 2
+
+
 def test_cut():
     assert packing.cut(2048, 2048) == [(0, 2048)]
     assert packing.cut(2049, 2048) == [(0, 1), (1, 2048)]
