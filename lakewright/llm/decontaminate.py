@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
 Documents are taken shard by shard. A shard's suffix array lists the places of its words in the
-order of the words that follow them; every test suffix is looked up in it by binary search, which
-gives longest verbatim matches and the places of whole windows. Places whose first words start no
-test window are left out of the array, as no window can match there.
+order of the words that follow them, and binary search finds test words in it. longest_matches()
+looks up every test suffix among all places, which gives longest verbatim matches of any length.
+mark() looks up every window of the test items; places whose first words start no test window are
+left out of its array, as no window can match there.
 
 Defined results: null and empty texts have no words and are clean; an item without words matches
 nothing; repeated items count once by item_id; repeated documents are judged one by one; empty
@@ -28,8 +29,8 @@ from .words import ALPHANUMERIC, hashed, mix
 
 #: Words of a window; words by which the array is ordered; leading words that a place must share with a window.
 WINDOW, DEPTH, LEAD = 10, 16, 4
-#: Bytes of text in a shard; bytes of test text that are broadcast at once. More test text goes slice by slice.
-SHARD_BYTES, SLICE_BYTES = 4_000_000, 16_000_000
+#: Bytes of text in a shard, and in one whose array has all places; bytes of test text that are broadcast at once. More test text goes slice by slice.
+SHARD_BYTES, FULL_BYTES, SLICE_BYTES = 4_000_000, 1_000_000, 16_000_000
 _LAST = np.uint64(2**64 - 1)
 
 
@@ -91,14 +92,14 @@ class Tests:
 
 
 class SuffixArray:
-    """Places of a shard's words in the order of the DEPTH words from there on."""
+    """Places of a shard's words in the order of the DEPTH words from there on: all, or with tests those where one of their windows can match."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tests: Tests):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tests: Tests | None = None):
         self.words = words
         self.first = np.cumsum(counts) - counts
         end = np.repeat(self.first + counts, counts)
         place = np.arange(len(words))
-        if len(words):
+        if tests is not None and len(words):
             padded = np.concatenate([words, np.zeros(tests.lead, np.uint64)])
             found = np.zeros(len(words), np.uint64)
             for k in range(tests.lead):
@@ -288,7 +289,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """For every test suffix that shares LEAD words with a document: item_id, start, the longest match's length, and the document and word where it is."""
+    """For every test suffix whose first word is in a document: item_id, start, the longest match's length, and the document and word where it is."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = None
     for part in slices(benchmark):
@@ -299,9 +300,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             named = [str(i) for i, _ in rows if i is not None]
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                for part in runs(list(zip(ids, batch.column(1).to_pylist())), lambda r: len(r[1] or ""), SHARD_BYTES):
+                for part in runs(list(zip(ids, batch.column(1).to_pylist())), lambda r: len(r[1] or ""), FULL_BYTES):
                     words, counts = hashed([utf8(t) for _, t in part], ALPHANUMERIC)
-                    shard = SuffixArray(words, counts, tests)
+                    shard = SuffixArray(words, counts)
                     length, place = shard.longest(tests)
                     some = np.flatnonzero(length > 0)
                     item = np.searchsorted(tests.starts, some, side="right") - 1

@@ -93,3 +93,28 @@ def test_longest_matches(spark):
             if best >= 10 or s + 10 <= len(w) and best >= lead:
                 r = found[str(i), s]
                 assert r["length"] == best and docs_[r["doc_id"]][r["place"] : r["place"] + best] == w[s : s + best]
+
+
+def test_longest_matches_of_every_suffix(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FULL_BYTES", 300, raising=False)
+    rnd = random.Random(6)
+    vocab = [f"v{k}" for k in range(40)]
+    rows = [(k, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 40)))) for k in range(12)]
+    item = [f"i{k}" for k in range(11)] + [f"shared{k}" for k in range(9)]
+    rows.append((50, "before " + " ".join(item[11:]) + " after"))
+    tests = [(1, " ".join(item)), (2, "v1 v2 v3"), (3, "v7"), (4, "unheard " + rows[5][1] + " v3 v4"), (5, "never said")]
+    found = decontaminate.longest_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(tests, ITEMS)).collect()
+    found = {(r["item_id"], r["start"]): r for r in found}
+    assert found["1", 11]["length"] == 9 and found["1", 11]["doc_id"] == 50 and found["1", 11]["place"] == 1
+    docs_, wanted = {i: words(t) for i, t in rows}, {}
+    for i, t in tests:
+        w = words(t)
+        for s in range(len(w)):
+            n = 0
+            while s + n < len(w) and any(w[s : s + n + 1] == d[p : p + n + 1] for d in docs_.values() for p in range(len(d))):
+                n += 1
+            if n:
+                wanted[str(i), s] = n
+    assert {k: r["length"] for k, r in found.items()} == wanted
+    for (i, s), r in found.items():
+        assert docs_[r["doc_id"]][r["place"] : r["place"] + r["length"]] == words(dict(tests)[int(i)])[s : s + r["length"]]
