@@ -6,7 +6,9 @@ written. All distinct entities are checked together: where two would share a rep
 replacement is itself an entity of the corpus, all but one draw again until none collide.
 
 Kinds: e-mail addresses (letters and digits by place; the domain of its own, the top level kept),
-telephone numbers (country code and punctuation kept), payment cards (first digit, grouping and
+telephone numbers (country code or trunk digit and punctuation kept; national ones only where they
+are separated and start with 0 or with an area code of three digits before seven more, so unlike
+other grouped numbers; one without its country is another entity than one with it), payment cards (first digit, grouping and
 check digit kept valid), IPv4 addresses (private ranges stay private), access keys, hexadecimal
 tokens, passwords (classes of characters kept), and names after a title (gender from the title,
 Latin or Cyrillic script, capitals; a family name alone and in a full name agree).
@@ -45,13 +47,28 @@ SYLLABLES = {
 # Country calling codes of one and of two digits; all others have three.
 CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
+def _national() -> str:
+    """Telephone numbers without a country code, by separator: a trunk 0 and 8 to 12 digits in two to five groups, or an area code of three digits and seven."""
+    forms = [r"\((?:0[1-9][0-9]{1,3}\)[ -]?[0-9]{3,4}(?:[ -]?[0-9]{2,4}){1,2}|[2-9][0-9]{2}\)[ -]?[0-9]{3}[ .-]?(?:[0-9]{4}|[0-9]{2}[ .-][0-9]{2}))"]
+    for s in (" ", "-", r"\."):
+        forms.append(f"0[1-9](?:{s}[0-9]{{2}}){{4}}|0[1-9][0-9]{{1,3}}(?:{s}[0-9]{{2}}){{3,4}}|0[1-9][0-9]{{1,4}}{s}[0-9]{{3,4}}(?:{s}[0-9]{{3,4}}|(?:{s}[0-9]{{2}}){{2}})")
+        forms.append(f"[2-9][0-9]{{2}}{s}[0-9]{{3}}{s}(?:[0-9]{{4}}|[0-9]{{2}}{s}[0-9]{{2}})")
+    forms.append("0[1-9][0-9]{1,4}[ /-][0-9]{5,8}")
+    return f"(?:[18][ .-]?(?=[(2-9]))?(?:{'|'.join(forms)})"
+
+
+# After a country code: as ever; one digit and pairs; one digit and two groups; a trunk 0 in brackets.
+_ABROAD = (
+    r"(?:[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}|[ .-]?[0-9](?:[ .-]?[0-9]{2}){4}|[ .-]?[0-9][ .-][0-9]{3,4}[ .-]?[0-9]{4}"
+    r"|[ .-]?\(0\)[ .-]?(?:[0-9](?:[ .-]?[0-9]{2}){4}|[0-9]{1,4}[ .-]?[0-9]{3,8}(?:[ .-][0-9]{2,4}){0,2}|[0-9]{2,4}(?:[ .-]?[0-9]{2}){3,4}))"
+)
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 #: Kind and pattern; the first kind that fits a found text is its kind.
 KINDS = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"),
     ("card", r"(?<![0-9+])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3})(?![0-9])"),
-    ("phone", r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"),
+    ("phone", rf"(?=[+(0-9])(?:(?<![0-9])\+[0-9]{{1,3}}{_ABROAD}|(?<![A-Za-z0-9])(?<![0-9][.,:/-])(?:00[1-9][0-9]{{0,2}}{_ABROAD}|{_national()}(?![.,:/-][0-9])))(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("access", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("hex", r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"),
@@ -75,9 +92,18 @@ def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
-def country(e: Column) -> Column:
-    """The country code of a telephone number, from its digits alone, so that all writings of a number agree."""
-    return F.regexp_extract(digits(e), f"^({CODES}|[0-9]{{3}})", 1)
+def country(number: Column) -> Column:
+    """The country code of a telephone number's digits, from these alone, so that all writings of a number agree."""
+    return F.regexp_extract(number, f"^({CODES}|[0-9]{{3}})", 1)
+
+
+def telephone(e: Column) -> Column:
+    """A telephone number as +, country code, blank and the rest, or without a country as n, trunk 0 if there is one, blank and the rest."""
+    abroad, home = digits(F.regexp_replace(e, r"^00|\(0\)", "")), F.regexp_replace(digits(e), "^[18](?=[0-9]{10}$)", "")
+    code, trunk = country(abroad), F.regexp_extract(home, "^(0?)", 1)
+    return F.when(e.rlike(r"^(?:\+|00)"), F.concat(F.lit("+"), code, F.lit(" "), F.substring(abroad, F.length(code) + 1, F.lit(20)))).otherwise(
+        F.concat(F.lit("n"), trunk, F.lit(" "), F.substring(home, F.length(trunk) + 1, F.lit(20)))
+    )
 
 
 def gender(e: Column) -> Column:
@@ -94,7 +120,7 @@ def canonical(e: Column, kind: Column) -> Column:
     return _cases(
         [
             (kind == "email", F.lower(e)),
-            (kind == "phone", F.concat(F.lit("+"), country(e), F.lit(" "), F.substring(digits(e), F.length(country(e)) + 1, F.lit(20)))),
+            (kind == "phone", telephone(e)),
             (kind.isin("card", "ssn"), digits(e)),
             (kind == "name", F.concat(gender(e), F.lit("|"), F.lower(bare_name(e)))),
         ],
@@ -190,7 +216,7 @@ def drawn(kind: Column, canon: Column, attempt: Column, key: str, s: Column, of_
     ip = F.when(private == "", F.concat_ws(".", *octets)).otherwise(
         F.concat(private, F.array_join(F.slice(F.array(*[o.cast("string") for o in octets]), fixed + 1, F.lit(4) - fixed), "."))
     )
-    code, number = F.regexp_extract(canon, r"^(\+[0-9]+ )", 1), F.regexp_extract(canon, r" ([0-9]+)$", 1)
+    code, number = F.regexp_extract(canon, r"^(\+[0-9]+ |n0? )", 1), F.regexp_extract(canon, r" ([0-9]+)$", 1)
     # Area and exchange start with 2 to 9.
     phone = F.concat(code, each_char(number, lambda c, i: F.when(i.isin(0, 3), (nth(s, i, 8) + 2).cast("string")).otherwise(nth(s, i, 10).cast("string"))))
     body = F.substring(by_class(canon, s, 1), F.lit(1), F.length(canon) - 1)
@@ -210,14 +236,14 @@ def drawn(kind: Column, canon: Column, attempt: Column, key: str, s: Column, of_
 
 def dressed(e: Column, kind: Column, new: Column) -> Column:
     """A replacement in the format in which the entity is written."""
-    code = F.length(country(e)) + 1
     rank = lambda i: F.length(digits(F.substring(e, F.lit(1), i + 1)))
-    numbers = digits(new)
+    # What comes before a telephone number's own digits stays as it is written.
+    own = F.regexp_extract(new, "([0-9]+)$", 1)
+    numbers = F.when(kind == "phone", F.concat(F.substring(digits(e), F.lit(1), F.length(digits(e)) - F.length(own)), own)).otherwise(digits(new))
     spaced = each_char(e, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(numbers, rank(i), F.lit(1))).otherwise(c))
     title = F.substring(e, F.lit(1), F.length(e) - F.length(bare_name(e)))
     name = F.concat(title, F.when(bare_name(e) == F.upper(bare_name(e)), F.upper(new)).otherwise(new))
-    phone = F.when(code.isNotNull(), spaced)
-    shaped = _cases([(kind == "name", name), (kind == "phone", phone), (kind.isin("card", "ssn"), spaced)], new)
+    shaped = _cases([(kind == "name", name), (kind.isin("phone", "card", "ssn"), spaced)], new)
     return F.when((kind == "email") & (e == F.upper(e)), F.upper(new)).otherwise(shaped)
 
 

@@ -67,3 +67,27 @@ def test_other_rows_stay(spark):
     assert surrogates.pseudonymise(empty(spark)).count() == 0
     plan = surrogates.pseudonymise(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_telephone_forms(spark):
+    numbers = [
+        "+33 6 12 34 56 78", "06 12 34 56 78", "(555) 123-4567", "555-123-4567", "030 12345678", "0033 6 12 34 56 78", "+49 (0)30 123456", "+33 (0)6 12 34 56 78",
+        "+61 2 9374 4000", "020 7946 0958", "044 123 45 67", "0171/1234567", "(030) 12345678", "8 (495) 123-45-67", "1-555-765-4321", "555.765.4322",
+    ]
+    rows = [f"call {n}, please" for n in numbers]
+    for n, row in zip(numbers, replaced(spark, rows)):
+        new = row.removeprefix("call ").removesuffix(", please")
+        assert new != n and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", n), (n, row)
+    new = replaced(spark, ["+33 6 12 34 56 78 or 0033 6 12 34 56 78 or +33 (0)6 12 34 56 78", "555-123-4567 or 1-555-123-4567 or (555) 123-4567"])
+    a, b, c = (re.sub(r"\D", "", n) for n in new[0].split(" or "))
+    assert a[:2] == "33" and b == "00" + a and c == "330" + a[2:]
+    a, b, c = (re.sub(r"\D", "", n) for n in new[1].split(" or "))
+    assert a == c and b == "1" + a
+
+
+def test_clean_numbers_stay(spark):
+    rows = [
+        "on 2024-01-15 and 01.02.2003, 01-02-2003 10:30, 01/02/2003", "12 345 678 or 1,234,567.89 or 0.12345678 and 100 200 300", "from 1990-1995, pages 555-612, (555) and (2019) 123",
+        "ISBN 978-3-16-148410-0, ISSN 0317-8471, version 2.0.1, at 09:30:00", "RFC 2616, 007 agents, 0 1234, 1.5e-10, item 123-4567",
+    ]
+    assert replaced(spark, rows) == rows
