@@ -159,7 +159,8 @@ def find(parent: list[int], i: int) -> int:
 def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, k1, k2 of every row; nodes: k1, k2, node, copies, links, class_id of every distinct word sequence)."""
     bands, per_band = banding(threshold, recall)
-    rows = written(sketched(docs, bands, per_band, n), "sketches").withColumn("row", F.monotonically_increasing_id())
+    # Several jobs use the row numbers, so they are stored: another job may split the files in another way.
+    rows = written(sketched(docs, bands, per_band, n).withColumn("row", F.monotonically_increasing_id()), "sketches")
     nodes = rows.groupBy("k1", "k2").agg(
         F.min("row").alias("node"), F.count("*").alias("copies"), F.min("doc_id").alias("low_id"), F.max("n_grams").alias("n_grams")
     )

@@ -58,6 +58,30 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert found == sorted(brute(rows))
 
 
+def test_row_numbers_survive_other_splits(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = []
+    for k in range(40):
+        w = [f"w{rnd.randint(0, 9999)}" for _ in range(60)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, "more"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    plain, name = near.written, "spark.sql.files.maxPartitionBytes"
+
+    def split_anew(df, what, *a):
+        out = plain(df, what, *a)
+        if what == "nodes":
+            spark.conf.set(name, "900")
+        return out
+
+    monkeypatch.setattr(near, "written", split_anew)
+    before = spark.conf.get(name)
+    try:
+        found = sorted(map(tuple, near.join(df).collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert found == sorted(brute(rows))
+
+
 def test_dedupe_keeps_one_of_each(spark):
     df = docs(spark)
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
