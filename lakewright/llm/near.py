@@ -145,7 +145,9 @@ def verified(group: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndar
     common = overlaps(sets)
     near = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
     side = group["side"].to_numpy()
-    allowed = side[:, None] != side[None, :] if side.min() != side.max() else np.ones_like(near)
+    # Of two blocks one may be empty; the other's own pairs belong to another unit even then.
+    within = group["low"].iloc[0] == group["high"].iloc[0]
+    allowed = np.ones_like(near) if within else side[:, None] != side[None, :]
     return np.nonzero(np.triu(near & allowed, 1))
 
 

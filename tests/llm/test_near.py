@@ -58,6 +58,17 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert found == sorted(brute(rows))
 
 
+def test_empty_blocks_add_no_links(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_GRAMS", 100)
+    rnd = random.Random(4)
+    rows = []
+    for k in range(16):
+        w = [f"w{rnd.randint(0, 9999)}" for _ in range(80)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, "more"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, near.join(df).collect())) == sorted(brute(rows))
+
+
 def test_row_numbers_survive_other_splits(spark, monkeypatch):
     rnd = random.Random(3)
     rows = []
