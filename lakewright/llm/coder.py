@@ -1,14 +1,16 @@
 """Token ids as compact files: an adaptive context-mixing range coder over independently reset blocks.
 
 In a block the id that last followed the same two ids (order 2) and the one that last followed the
-same id (order 1) are predicted, each with a confidence from its run of hits. Adaptive estimates of
-both orders are mixed, by a weight that moves to whichever was nearer the truth, into the
-probabilities of either hit; any other id is coded as its low byte and then its high part, of which
-order 0 predicts the one last seen with that low byte. The intervals drive a range coder with 48
-bits of state and 16-bit output. All numbers are integers, so files decode alike everywhere.
+same id (order 1) are predicted, each with a confidence from its run of hits. Adaptive estimates say
+how far either is to be trusted; what they leave goes to the distribution of order 1 and, through an
+escape, to that of order 0. These two start from counts of the whole file, which its head holds, so
+that a reset block need not learn the vocabulary anew. All four are mixed into one interval of a
+range coder with 48 bits of state and 16-bit output. All numbers are integers, so files decode alike
+everywhere.
 
-Blocks share nothing: each is coded from fresh tables and has its length and the CRC-32 of its ids.
-The blocks of a file are coded side by side, one numpy step for an id of every block.
+Blocks share nothing but the head: each is coded from fresh tables and estimates and has its length
+and the CRC-32 of its ids, so any of them can be decoded alone. The blocks of a file are coded side
+by side, one numpy step for an id of every block.
 
 Defined results: null and empty texts are the end id alone; ids of documents are integers or null;
 rows with one doc_id are written in the order of their texts; an empty table gives no files and no
@@ -26,118 +28,203 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import column, encoder, runs, written
+from .shared import arrow_map, column, encoder, runs, written
 
 #: Ids of a block, ids of a file (a longer document has one alone), bits of the two tables' places.
-BLOCK, FILE_IDS, BITS1, BITS2 = 1024, 4_000_000, 9, 10
-MAGIC, VERSION = b"LWTK", 1
+BLOCK, FILE_IDS, BITS1, BITS2 = 2048, 4_000_000, 10, 11
+#: Pairs of ids that the head has: those seen so often, and so many of one context at most; all others are escaped to order 0.
+PAIR_TIMES, PAIRS_EACH = 3, 1 << 15
+#: Bits of the order-1 distributions and of the interval that all predictions share.
+BITS, MIXED = 16, 24
+MAGIC, VERSION = b"LWTK", 2
 _NULL = -(2**63)
-_LOW32 = np.uint64(0xFFFFFFFF)
+_LOW32 = 2**32 - 1
 
 
 class CodedError(ValueError):
     pass
 
 
+def planes(a: np.ndarray) -> bytes:
+    """Numbers under 2**32, packed: all lowest bytes, then all next ones."""
+    data = zlib.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
+    return struct.pack("<II", len(a), len(data)) + data
+
+
+def unplanes(image: bytes, at: int) -> tuple[np.ndarray, int]:
+    """(numbers, place behind them)."""
+    n, size = struct.unpack_from("<II", image, at)
+    data = np.frombuffer(zlib.decompress(image[at + 8 : at + 8 + size]), np.uint8)
+    return np.ascontiguousarray(data.reshape(4, n).T).view("<u4").ravel().astype(np.int64), at + 8 + size
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, the place of each value among them, how often each occurs): by a table where that is small beside the values, else by sorting."""
+    top = int(values.max()) + 1 if len(values) else 0
+    if top > 4 * len(values) + (1 << 16):
+        keys, of, times = np.unique(values, return_inverse=True, return_counts=True)
+        return keys.astype(np.int64), of.ravel(), times
+    times = np.bincount(values, minlength=top)
+    keys = np.flatnonzero(times)
+    place = np.zeros(top, np.int32)
+    place[keys] = np.arange(len(keys))
+    return keys, place.take(values).astype(np.int64), times[keys]
+
+
+class Prior:
+    """What every block of a file starts from: distributions of order 1 with an escape, and of order 0 for what escapes.
+
+    Ids are numbered from 1 in their order; number 0 is the place before a block, and the escape.
+    """
+
+    def __init__(self, vocabulary: np.ndarray, times: np.ndarray, of_context: np.ndarray, pair: np.ndarray, pair_times: np.ndarray):
+        """The distinct ids and how often each occurs; how many pairs of each id the head has, their second numbers, and how often they occur."""
+        self.parts = vocabulary, times, of_context, pair, pair_times
+        self.vocabulary = np.concatenate([[0], vocabulary])
+        v = len(vocabulary)
+        # Order 0: each id by how often no pair covers it.
+        rest = np.maximum(times - np.bincount(pair, pair_times, v + 1)[1:].astype(np.int64), 0)
+        self.bits0 = max(BITS, v.bit_length() + 2)
+        size0 = 1 + rest * ((1 << self.bits0) - v) // max(int(rest.sum()), 1)
+        if v:
+            size0[size0.argmax()] += (1 << self.bits0) - int(size0.sum())
+        self.size0 = np.concatenate([[0], size0])
+        self.start0 = np.cumsum(self.size0) - self.size0
+        # Order 1: the pairs of each context in order, then its escape.
+        n = np.concatenate([[0], of_context])
+        context = np.repeat(np.arange(v + 1), n)
+        seen = np.bincount(context, pair_times, v + 1).astype(np.int64)
+        total = np.maximum(np.concatenate([[0], times]) - seen, 1) + seen
+        size = 1 + pair_times * ((1 << BITS) - n - 1)[context] // total[context]
+        ends = np.cumsum(n + 1)
+        self.symbol, self.size = np.zeros(len(pair) + v + 1, np.int64), np.zeros(len(pair) + v + 1, np.int64)
+        at = np.arange(len(pair)) + context
+        self.symbol[at], self.size[at] = pair, size
+        self.escape = ends - 1
+        self.size[self.escape] = (1 << BITS) - np.bincount(context, size, v + 1).astype(np.int64)
+        before = np.cumsum(self.size) - self.size
+        self.start = before - np.repeat(before[ends - n - 1], n + 1)
+        self.keys = (np.repeat(np.arange(v + 1), n + 1) << BITS) + self.start
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Prior, np.ndarray, np.ndarray]:
+        """(the prior of a file, the number of each id, the place of each pair's entry among those of order 1, or its context's escape)."""
+        vocabulary, number, times = counted(ids)
+        number += 1
+        v = len(vocabulary)
+        before = np.concatenate([number[:1] * 0, number[:-1]])
+        keys, of, counts = counted(before * (v + 1) + number)
+        context, second = keys // (v + 1), keys % (v + 1)
+        order = np.lexsort((-counts, context))
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys)) - np.searchsorted(context, context[order])
+        kept = (counts >= PAIR_TIMES) & (rank < PAIRS_EACH) & (context > 0)
+        prior = cls(vocabulary, times, np.bincount(context[kept], minlength=v + 1)[1:], second[kept], counts[kept])
+        entry = prior.escape[context] if len(keys) else context
+        entry[kept] = np.arange(int(kept.sum())) + context[kept]
+        return prior, number, entry.take(of)
+
+    def packed(self) -> bytes:
+        vocabulary, times, of_context, pair, pair_times = self.parts
+        first = np.cumsum(of_context) - of_context
+        steps = np.diff(pair, prepend=0)
+        steps[first[of_context > 0]] = pair[first[of_context > 0]]
+        return b"".join(map(planes, (np.diff(vocabulary, prepend=0), times, of_context, steps, pair_times)))
+
+    @classmethod
+    def unpacked(cls, image: bytes, at: int) -> tuple[Prior, int]:
+        parts = []
+        for _ in range(5):
+            part, at = unplanes(image, at)
+            parts.append(part)
+        steps, times, of_context, pair, pair_times = parts
+        ends = np.cumsum(of_context)
+        total = np.cumsum(pair)
+        base = np.concatenate([[0], total])[ends - of_context]
+        return cls(np.cumsum(steps), times, of_context, total - np.repeat(base, of_context), pair_times), at
+
+    def slots(self) -> np.ndarray:
+        """The number that each of the 2**bits0 values of order 0 stands for."""
+        return np.repeat(np.arange(len(self.size0)), self.size0)
+
+
 class Model:
-    """Predictions of the next id of every lane, and what they learn from it."""
-
-    def __init__(self, lanes: int, wide: bool):
-        # An entry is an id and, in two bits, its run of hits.
-        self.kind = np.uint64 if wide else np.uint32
-        self.next1, self.next2, self.high = (np.zeros(lanes << bits, self.kind) for bits in (BITS1, BITS2, 8))
-        # Estimates in 1/65536 by confidence (and whether orders agree): of an order-2 hit as order 2 and order 1 see it, of an order-1 hit, of a high part.
-        self.p2, self.p1 = np.full(lanes * 8, 16384, np.int32), np.full(lanes * 8, 16384, np.int32)
-        self.p_one, self.p_high = np.full(lanes * 4, 8192, np.int32), np.full(lanes * 4, 32768, np.int32)
-        self.weight = np.full(lanes, 128, np.int32)
+    """Predictions of the next number of every lane, and what they learn from it."""
+
+    def __init__(self, lanes: int):
+        # An entry is a number and, in two bits, its run of hits; 0 is none.
+        self.next1, self.next2 = np.zeros(lanes << BITS1, np.uint32), np.zeros(lanes << BITS2, np.uint32)
+        # Estimates in 1/65536 of a hit by confidence and whether the orders agree; the upper half is for no prediction.
+        self.trust2, self.trust1 = np.full(lanes << 4, 16384, np.int64), np.full(lanes << 4, 8192, np.int64)
         self.last1, self.last2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         lane = np.arange(lanes, dtype=np.int64)
-        self.row1, self.row2, self.row8, self.row4 = lane << BITS1, lane << BITS2, lane << 3, lane << 2
+        self.row1, self.row2, self.row = lane << BITS1, lane << BITS2, lane << 4
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of 65536 for an order-2 and for an order-1 hit, of the first n lanes."""
+        """Shares of 2**MIXED for an order-2 and for an order-1 hit, of the first n lanes."""
         last = self.last1[:n]
         self.at1 = self.row1[:n] + ((last * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS1))
         self.at2 = self.row2[:n] + ((last * np.uint32(0x85EBCA6B) + self.last2[:n] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS2))
         v1, v2 = self.next1.take(self.at1), self.next2.take(self.at2)
-        three = self.kind(3)
-        self.k1, self.k2 = v1 & three, v2 & three
-        self.c1, self.c2 = v1 >> self.kind(2), v2 >> self.kind(2)
-        self.agree = self.c1 == self.c2
-        base = self.row8[:n] + self.agree
-        sure1 = self.k1.astype(np.int64)
-        self.i2, self.i1 = base + (self.k2.astype(np.int64) << 1), base + (sure1 << 1)
-        self.e2, self.e1 = self.p2.take(self.i2), self.p1.take(self.i1)
-        two = ((self.e2 - self.e1) * self.weight[:n] >> 8) + self.e1
-        self.io = self.row4[:n] + sure1
-        one = ((65536 - two) >> 4) * (self.p_one.take(self.io) >> 4) >> 8
-        one *= ~self.agree
-        return two, one
-
-    def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        truth = hit2 * np.int32(65536 - 512) + np.int32(256)
-        self.p2[self.i2] = self.e2 + ((truth - self.e2) >> 4)
-        self.p1[self.i1] = self.e1 + ((truth - self.e1) >> 4)
-        w = self.weight[:n]
-        w += ((self.e2 > self.e1) == hit2) * np.int32(6) - np.int32(3)
-        np.maximum(w, 16, out=w)
-        np.minimum(w, 240, out=w)
-        tried = np.flatnonzero(~(hit2 | self.agree))
-        io = self.io.take(tried)
-        e = self.p_one.take(io)
-        self.p_one[io] = e + ((hit1.take(tried) * np.int32(65536 - 512) + np.int32(256) - e) >> 4)
-        entry, more, three = ids << self.kind(2), self.kind(1), self.kind(3)
-        self.next1[self.at1] = entry | np.minimum(self.k1 + more, three) * (self.c1 == ids)
+        self.c1, self.c2 = v1 >> np.uint32(2), v2 >> np.uint32(2)
+        some2, other = v2 > 0, self.c1 != self.c2
+        base = self.row[:n] + other
+        self.i2 = base + ((v2 & np.uint32(3)).astype(np.int64) << 1) + (~some2 << np.int64(3))
+        self.e2 = self.trust2.take(self.i2)
+        two = self.e2 * some2
+        # Order 1 counts where it says something else than order 2.
+        self.tried = other & (v1 > 0)
+        self.i1 = base + ((v1 & np.uint32(3)).astype(np.int64) << 1) + (~self.tried << np.int64(3))
+        self.e1 = self.trust1.take(self.i1)
+        one = ((65536 - two) * self.e1 >> 8) * self.tried
+        self.k1, self.k2 = v1 & np.uint32(3), v2 & np.uint32(3)
+        return two << 8, one
+
+    def learn(self, n: int, now: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """now: the numbers. Trust moves between bounds that leave every other id a share: 63/64 for order 2, 3/4 for order 1."""
+        self.trust2[self.i2] = self.e2 + ((hit2 * np.int64(64512 - 256) + 256 - self.e2) >> 4)
+        missed = np.flatnonzero(~hit2)
+        e = self.e1.take(missed)
+        self.trust1[self.i1.take(missed)] = e + ((hit1.take(missed) * np.int64(49152 - 256) + 256 - e) >> 4)
+        entry, more, three = now << np.uint32(2), np.uint32(1), np.uint32(3)
+        self.next1[self.at1] = entry | np.minimum(self.k1 + more, three) * (self.c1 == now)
         self.next2[self.at2] = entry | np.minimum(self.k2 + more, three) * hit2
         self.last2[:n] = self.last1[:n]
-        self.last1[:n] = ids
-
-    def predict_high(self, lanes: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Shares of 256 for the high part that order 0 predicts."""
-        self.at0 = (lanes << 8) + low.astype(np.int64)
-        v = self.high.take(self.at0)
-        self.kh, self.ch = v & self.kind(3), v >> self.kind(2)
-        self.ih = (lanes << 2) + self.kh.astype(np.int64)
-        self.eh = self.p_high.take(self.ih)
-        return self.eh >> 8
-
-    def learn_high(self, high: np.ndarray, hit: np.ndarray) -> None:
-        self.p_high[self.ih] = self.eh + ((hit * np.int32(65536 - 1024) + np.int32(512) - self.eh) >> 4)
-        self.high[self.at0] = high << self.kind(2) | np.minimum(self.kh + self.kind(1), self.kind(3)) * hit
+        self.last1[:n] = now
 
 
 class Writer:
     """Range coders of all lanes. Words are kept with room for a carry, which is settled at the end."""
 
-    def __init__(self, lanes: int, steps: int, wide: bool):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 1 << 48, np.uint64)
-        self.words = np.zeros((lanes, (3 + wide) * steps + 4), np.uint32)
+    def __init__(self, lanes: int, steps: int):
+        self.low = np.zeros(lanes, np.int64)
+        self.range = np.full(lanes, 1 << 48, np.int64)
+        self.words = np.zeros((lanes, 4 * steps + 4), np.uint32)
         self.flat, self.row = self.words.reshape(-1), np.arange(lanes, dtype=np.int64) * self.words.shape[1]
         self.next = self.row.copy()
 
     def put(self, lanes, start: np.ndarray, size: np.ndarray, bits: int) -> None:
         """Narrow the lanes' intervals to [start, start + size) of 2**bits. lanes: a slice or places."""
         whole = isinstance(lanes, slice)
-        span = (self.range[lanes] if whole else self.range.take(lanes)) >> np.uint64(bits)
+        span = (self.range[lanes] if whole else self.range.take(lanes)) >> bits
         low = (self.low[lanes] if whole else self.low.take(lanes)) + span * start
         span *= size
         short = np.flatnonzero(span <= _LOW32)
-        if len(short):
+        while len(short):
             who = short if whole else lanes.take(short)
-            some = low.take(short)
-            at = self.next.take(who)
-            self.flat[at] = some >> np.uint64(32)
+            some, at, left = low.take(short), self.next.take(who), span.take(short) << 16
+            self.flat[at] = some >> 32
             self.next[who] = at + 1
-            low[short] = (some & _LOW32) << np.uint64(16)
-            span[short] = span.take(short) << np.uint64(16)
+            low[short] = (some & _LOW32) << 16
+            span[short] = left
+            short = short[left <= _LOW32]
         self.low[lanes], self.range[lanes] = low, span
 
     def finish(self) -> list[bytes]:
         for _ in range(3):
-            self.flat[self.next] = self.low >> np.uint64(32)
+            self.flat[self.next] = self.low >> 32
             self.next += 1
-            self.low = (self.low & _LOW32) << np.uint64(16)
+            self.low = (self.low & _LOW32) << 16
         used = self.next - self.row
         words = np.ascontiguousarray(self.words[:, : int(used.max())].T)
         carry = np.zeros(len(used), np.uint32)
@@ -153,31 +240,33 @@ class Reader:
     """The decoding side: how far each lane's code lies in its interval."""
 
     def __init__(self, blocks: list[bytes]):
-        longest = max(map(len, blocks)) // 2 + 3
-        words = np.zeros((len(blocks), longest), np.uint64)
+        longest = max(map(len, blocks)) // 2 + 5
+        words = np.zeros((len(blocks), longest), np.int64)
         for row, b in zip(words, blocks):
             row[: len(b) // 2] = np.frombuffer(b, ">u2")
         self.flat = words.reshape(-1)
         self.at = np.arange(len(blocks), dtype=np.int64) * longest + 3
-        self.code = words[:, 0] << np.uint64(32) | words[:, 1] << np.uint64(16) | words[:, 2]
-        self.range = np.full(len(blocks), 1 << 48, np.uint64)
+        self.code = words[:, 0] << 32 | words[:, 1] << 16 | words[:, 2]
+        self.range = np.full(len(blocks), 1 << 48, np.int64)
 
-    def steps(self, lanes, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """(code, size of a step of 2**bits)."""
-        if isinstance(lanes, slice):
-            return self.code[lanes], self.range[lanes] >> np.uint64(bits)
-        return self.code.take(lanes), self.range.take(lanes) >> np.uint64(bits)
+    def values(self, lanes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code, size of a step of 2**bits, the step that the code is in)."""
+        whole = isinstance(lanes, slice)
+        code, r = (self.code[lanes], self.range[lanes] >> bits) if whole else (self.code.take(lanes), self.range.take(lanes) >> bits)
+        return code, r, np.minimum(code // r, (1 << bits) - 1)
 
     def take(self, lanes, code: np.ndarray, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         code = code - r * start
         span = r * size
         short = np.flatnonzero(span <= _LOW32)
-        if len(short):
+        while len(short):
             who = short if isinstance(lanes, slice) else lanes.take(short)
-            at = self.at.take(who)
-            code[short] = code.take(short) << np.uint64(16) | self.flat.take(at)
+            at, left = self.at.take(who), span.take(short) << 16
+            # A damaged block may ask for more words than there are; its checksum tells.
+            code[short] = code.take(short) << 16 | self.flat.take(at, mode="clip")
             self.at[who] = at + 1
-            span[short] = span.take(short) << np.uint64(16)
+            span[short] = left
+            short = short[left <= _LOW32]
         self.code[lanes], self.range[lanes] = code, span
 
 
@@ -185,109 +274,91 @@ def cut(ids: np.ndarray) -> list[np.ndarray]:
     return [ids[at : at + BLOCK] for at in range(0, len(ids), BLOCK)]
 
 
-def bits_high(wide: bool) -> list[int]:
-    """Widths of the parts in which a high part is written."""
-    return [8, 16] if wide else [8]
-
-
-def interval(hit2: np.ndarray, hit1: np.ndarray, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of 65536 of an order-2 hit, then an order-1 hit, then any other id."""
-    known = two + one
-    start = np.where(hit2, 0, np.where(hit1, two, known))
-    return start.astype(np.uint64), (np.where(hit2, two, np.where(hit1, known, 65536)) - start).astype(np.uint64)
-
-
-def encode_blocks(blocks: list[np.ndarray], wide: bool) -> list[bytes]:
-    """Coded bytes of blocks of ids; all but the last are of one length, the last may be shorter."""
-    if not blocks:
-        return []
-    steps = len(blocks[0])
-    model, out = Model(len(blocks), wide), Writer(len(blocks), steps, wide)
-    grid = np.zeros((len(blocks), steps), model.kind)
-    for row, b in zip(grid, blocks):
-        row[: len(b)] = b
-    grid = np.ascontiguousarray(grid.T)
-    ones = np.ones(len(blocks), np.uint64)
-    for t, ids in enumerate(grid):
-        n = len(blocks) - (t >= len(blocks[-1]))
-        now = ids[:n]
+def by_steps(values: np.ndarray) -> np.ndarray:
+    """values of all blocks in a row as (step, lane); the last lane may be shorter."""
+    lanes = -(-len(values) // BLOCK)
+    steps = min(BLOCK, len(values))
+    grid = np.zeros(lanes * steps, values.dtype)
+    grid[: len(values)] = values
+    return np.ascontiguousarray(grid.reshape(lanes, steps).T)
+
+
+def mixed(hit2: np.ndarray, hit1: np.ndarray, two: np.ndarray, one: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of 2**MIXED: first an order-2 hit, then an order-1 hit, then the distribution of order 1 in what they leave."""
+    base = two + one
+    left = (1 << MIXED) - base
+    low = base + (left * start >> BITS)
+    high = base + (left * (start + size) >> BITS)
+    return np.where(hit2, 0, np.where(hit1, two, low)), np.where(hit2, two, np.where(hit1, one, high - low))
+
+
+def encode_blocks(ids: np.ndarray) -> tuple[Prior, list[bytes]]:
+    """(what all blocks start from, coded bytes of each block of ids)."""
+    prior, number, entry = Prior.of(ids)
+    if not len(ids):
+        return prior, []
+    numbers, entries = by_steps(number.astype(np.uint32)), by_steps(entry.astype(np.uint32))
+    lanes, last = numbers.shape[1], (len(ids) - 1) % BLOCK + 1
+    model, out = Model(lanes), Writer(lanes, len(numbers))
+    for t in range(len(numbers)):
+        n = lanes - (t >= last)
+        now, at = numbers[t, :n], entries[t, :n]
+        if not t:
+            at = np.full(n, prior.escape[0])  # a block knows nothing of what came before it
         two, one = model.predict(n)
         hit2 = now == model.c2
         hit1 = (now == model.c1) & ~hit2
-        out.put(slice(0, n), *interval(hit2, hit1, two, one), 16)
-        lanes = np.flatnonzero(~(hit2 | hit1))
-        if len(lanes):
-            rest = now.take(lanes)
-            low, high = rest & model.kind(0xFF), rest >> model.kind(8)
-            p = model.predict_high(lanes, low)
-            hit = high == model.ch
-            # The low byte, then in its share whether order 0 is right.
-            start = low.astype(np.uint64) * np.uint64(256) + (~hit * p).astype(np.uint64)
-            out.put(lanes, start, np.where(hit, p, 256 - p).astype(np.uint64), 16)
-            model.learn_high(high, hit)
-            miss = np.flatnonzero(~hit)
-            if len(miss):
-                left, who, one_each = high.take(miss).astype(np.uint64), lanes.take(miss), ones[: len(miss)]
-                for bits in bits_high(wide):
-                    out.put(who, left & np.uint64((1 << bits) - 1), one_each, bits)
-                    left >>= np.uint64(bits)
+        out.put(slice(0, n), *mixed(hit2, hit1, two, one, prior.start.take(at), prior.size.take(at)), MIXED)
+        escaped = np.flatnonzero((prior.symbol.take(at) == 0) & ~(hit2 | hit1))
+        if len(escaped):
+            rest = now.take(escaped)
+            out.put(escaped, prior.start0.take(rest), prior.size0.take(rest), prior.bits0)
         model.learn(n, now, hit2, hit1)
-    return out.finish()
+    return prior, out.finish()
 
 
-def decode_blocks(coded: list[bytes], lengths: list[int], wide: bool) -> list[np.ndarray]:
+def decode_blocks(prior: Prior, coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+    """Ids of blocks, all or some; none may be shorter than one after it."""
     if not coded:
         return []
-    steps = lengths[0]
-    model, source = Model(len(coded), wide), Reader(coded)
-    grid = np.zeros((steps, len(coded)), np.uint32)
-    ones = np.ones(len(coded), np.uint64)
+    steps, lanes = lengths[0], len(coded)
+    ends = np.searchsorted(-np.array(lengths), -np.arange(steps))
+    model, source, slots = Model(lanes), Reader(coded), prior.slots()
+    grid = np.zeros((steps, lanes), np.uint32)
     for t in range(steps):
-        n = len(coded) - (t >= lengths[-1])
+        n = int(ends[t])
         two, one = model.predict(n)
         every = slice(0, n)
-        code, r = source.steps(every, 16)
-        hit2 = code < r * two.astype(np.uint64)
-        either = code < r * (two + one).astype(np.uint64)
+        code, r, value = source.values(every, MIXED)
+        base = two + one
+        hit2 = value < two
+        either = value < base
         hit1 = either & ~hit2
-        source.take(every, code, r, *interval(hit2, hit1, two, one))
-        now = np.where(hit2, model.c2, model.c1)
-        lanes = np.flatnonzero(~either)
-        if len(lanes):
-            code, r = source.steps(lanes, 16)
-            value = np.minimum(code // r, np.uint64(65535)).astype(np.int64)
-            low = value >> 8
-            p = model.predict_high(lanes, low)
-            hit = (value & 255) < p
-            source.take(lanes, code, r, ((low << 8) + ~hit * p).astype(np.uint64), np.where(hit, p, 256 - p).astype(np.uint64))
-            high = model.ch
-            miss = np.flatnonzero(~hit)
-            if len(miss):
-                who, got, shift = lanes.take(miss), np.zeros(len(miss), np.uint64), 0
-                for bits in bits_high(wide):
-                    code, r = source.steps(who, bits)
-                    part = np.minimum(code // r, np.uint64((1 << bits) - 1))
-                    source.take(who, code, r, part, ones[: len(miss)])
-                    got |= part << np.uint64(shift)
-                    shift += bits
-                high[miss] = got
-            model.learn_high(high, hit)
-            now[lanes] = high << model.kind(8) | low.astype(model.kind)
+        # The largest start whose place in what the hits leave isn't beyond the value.
+        inner = ((np.maximum(value - base, 0) + 1 << BITS) - 1) // ((1 << MIXED) - base)
+        at = np.searchsorted(prior.keys, (model.last1[:n].astype(np.int64) << BITS) + np.minimum(inner, (1 << BITS) - 1), "right") - 1
+        source.take(every, code, r, *mixed(hit2, hit1, two, one, prior.start.take(at), prior.size.take(at)))
+        now = np.where(hit2, model.c2, np.where(hit1, model.c1, prior.symbol.take(at).astype(np.uint32)))
+        escaped = np.flatnonzero(now == 0)
+        if len(escaped):
+            code, r, value = source.values(escaped, prior.bits0)
+            rest = slots.take(value)
+            source.take(escaped, code, r, prior.start0.take(rest), prior.size0.take(rest))
+            now[escaped] = rest
         grid[t, :n] = now
         model.learn(n, now, hit2, hit1)
-    columns = np.ascontiguousarray(grid.T)
+    columns = prior.vocabulary.astype(np.uint32).take(np.ascontiguousarray(grid.T))
     return [columns[k, :m] for k, m in enumerate(lengths)]
 
 
 def to_file(doc_ids: list[int | None], texts: list[np.ndarray]) -> bytes:
-    """A file image: head, documents (ids and lengths), blocks (ids, bytes, CRC-32 of the ids), coded bytes."""
+    """A file image: head (documents' ids and lengths, blocks' ids, bytes and CRC-32 of the ids, counts that all blocks start from), its CRC-32, coded bytes."""
     ids = np.concatenate(texts).astype("<u4") if texts else np.zeros(0, "<u4")
-    wide = bool(len(ids) and ids.max() >= 1 << 16)
-    blocks = cut(ids)
-    coded = encode_blocks(blocks, wide)
-    table = np.array([[len(b), len(c), zlib.crc32(b.tobytes())] for b, c in zip(blocks, coded)], "<u4").tobytes()
+    prior, coded = encode_blocks(ids)
+    table = np.array([[len(b), len(c), zlib.crc32(b.tobytes())] for b, c in zip(cut(ids), coded)], "<u4").tobytes()
     docs = np.array([_NULL if i is None else i for i in doc_ids], "<i8").tobytes() + np.array([len(t) for t in texts], "<u8").tobytes()
-    head = MAGIC + struct.pack("<BBQII", VERSION, wide, len(ids), len(texts), len(blocks)) + docs + table
+    packed = prior.packed()
+    head = MAGIC + struct.pack("<BQIII", VERSION, len(ids), len(texts), len(coded), len(packed)) + docs + table + packed
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(coded)
 
 
@@ -295,17 +366,19 @@ def from_file(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, number of ids of each, all ids), every checksum held."""
     if image[:4] != MAGIC:
         raise CodedError("not a file of token ids")
-    version, wide, total, n_docs, n_blocks = struct.unpack_from("<BBQII", image, 4)
-    at = 4 + struct.calcsize("<BBQII")
-    end = at + 16 * n_docs + 12 * n_blocks
+    version, total, n_docs, n_blocks, n_packed = struct.unpack_from("<BQIII", image, 4)
+    at = 4 + struct.calcsize("<BQIII")
+    tables = at + 16 * n_docs + 12 * n_blocks
+    end = tables + n_packed
     if version != VERSION or len(image) < end + 4 or struct.unpack_from("<I", image, end)[0] != zlib.crc32(image[:end]):
         raise CodedError("the head's checksum is wrong")
     doc_ids = [None if i == _NULL else i for i in np.frombuffer(image, "<i8", n_docs, at).tolist()]
     lengths = np.frombuffer(image, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
     table = np.frombuffer(image, "<u4", 3 * n_blocks, at + 16 * n_docs).reshape(-1, 3)
+    prior, _ = Prior.unpacked(image, tables)
     ends = end + 4 + np.cumsum(table[:, 1].astype(np.int64))
     coded = [image[e - n : e] for e, n in zip(ends.tolist(), table[:, 1].tolist())]
-    blocks = decode_blocks(coded, table[:, 0].tolist(), bool(wide))
+    blocks = decode_blocks(prior, coded, table[:, 0].tolist())
     for b, crc in zip(blocks, table[:, 2].tolist()):
         if zlib.crc32(b.astype("<u4").tobytes()) != crc:
             raise CodedError("a block's checksum is wrong")
@@ -346,7 +419,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 1, spaced: bool = Fals
             yield file(ids, texts)
 
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, "part int, file int, n_docs long, n_ids long, image binary"), "token-files")
+    return written(arrow_map(ordered, run, "part int, file int, n_docs long, n_ids long, image binary"), "token-files")
 
 
 def read_files(files: DataFrame) -> DataFrame:

@@ -83,11 +83,11 @@ class ChunkEncoder:
     Both vocabularies split a text at white space before any merge, so the ids of a text whose
     white space is only single spaces and line ends are those of its chunks in a row. Chunks of
     Latin-1 are split here and merged by the library's model; other chunks, and texts with other
-    white space, go through the library whole.
+    white space or with a special token of the vocabulary, go through the library whole.
     """
 
-    #: Chunks and pieces kept; at the limit a cache starts anew.
-    LIMIT, PIECES = 800_000, 250_000
+    #: Chunks, their characters, and pieces kept; at a limit a cache starts anew. Characters of a piece that is kept.
+    LIMIT, CHARS, PIECES, PIECE = 800_000, 16_000_000, 250_000, 64
 
     def __init__(self, path: str, spaced: bool):
         """spaced: the vocabulary keeps white space (a chunk then takes the space or line end before it along)."""
@@ -96,7 +96,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = spaced
         self.split = (SPACED if spaced else DENSE).findall
         self.letters = byte_letters()
@@ -105,6 +105,7 @@ class ChunkEncoder:
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -127,7 +128,9 @@ class ChunkEncoder:
             if got is None:
                 if len(self.pieces) >= self.PIECES:
                     self.pieces.clear()
-                got = self.pieces[piece] = tuple([t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+                got = tuple([t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+                if len(piece) <= self.PIECE:
+                    self.pieces[piece] = got
             ids += got
         return ids
 
@@ -141,6 +144,7 @@ class ChunkEncoder:
             each[k] = ids
         base, at = len(self.index), len(self.flat)
         self.index.update(zip(chunks, range(base, base + len(chunks))))
+        self.chars += sum(map(len, chunks))
         lengths = np.fromiter(map(len, each), np.int64, len(each))
         self.lengths = np.concatenate([self.lengths, lengths])
         self.starts = np.concatenate([self.starts, at + np.cumsum(lengths) - lengths])
@@ -156,7 +160,7 @@ class ChunkEncoder:
                 out[i] = np.zeros(0, np.uint32)
                 continue
             words = text.split()
-            if " ".join(words) != text.replace("\n", " "):
+            if " ".join(words) != text.replace("\n", " ") or any(s in text for s in self.special):
                 odd.append(i)
             elif self.spaced:
                 plain.append((i, ("\n" + text).replace("\n", " \n").split(" ")[1:]))
@@ -170,7 +174,7 @@ class ChunkEncoder:
             missing = np.flatnonzero(at < 0).tolist()
             if missing:
                 new = list(dict.fromkeys(chunks[k] for k in missing))
-                if len(self.index) + len(new) > self.LIMIT:
+                if len(self.index) + len(new) > self.LIMIT or self.chars > self.CHARS:
                     self._reset()
                     new, missing = list(dict.fromkeys(chunks)), range(len(chunks))
                 self._learn(new)
@@ -193,7 +197,7 @@ def encoder(path: str, spaced: bool) -> ChunkEncoder:
 
 
 #: Rows and bytes of a batch between the JVM and Python, so that neither side holds more than a few copies of that.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:

@@ -34,12 +34,46 @@ def test_predictable_ids_are_short():
     assert len(coder.to_file([1], [np.array([1, 2, 3, 4] * 4096, np.uint32)])) < 1500
 
 
+def test_blocks_decode_alone():
+    ids = np.random.default_rng(2).zipf(1.3, 9000).astype(np.uint32) % 3000
+    prior, coded = coder.encode_blocks(ids)
+    blocks = coder.cut(ids)
+    for k in (0, 2, len(blocks) - 1):
+        assert (coder.decode_blocks(prior, [coded[k]], [len(blocks[k])])[0] == blocks[k]).all()
+
+
+def test_shorter_than_order_0_and_zlib():
+    """On real ids: under the entropy of single ids, and under what zlib makes of them."""
+    import pyarrow.parquet as pq
+
+    from lakewright.llm.shared import ChunkEncoder
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    ids = [np.append(i, 1).astype("<u4") for i in ChunkEncoder(vocabulary("word_bpe_49k.json"), False).encode(texts)]
+    whole = np.concatenate(ids)
+    share = np.unique(whole, return_counts=True)[1] / len(whole)
+    order_0 = -(share * np.log2(share)).sum() * len(whole) / 8
+    coded = len(coder.to_file(list(range(len(ids))), ids))
+    assert coded < 0.9 * order_0 and coded < 0.9 * len(zlib.compress(whole.astype("<u2").tobytes(), 9))
+
+
+def test_special_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    from lakewright.llm.shared import ChunkEncoder
+
+    texts = ["a<|endoftext|>b", "plain words <|startoftext|> here", "an <|EndOfText|> of its own", "<|endoftext|>"]
+    for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        t = Tokenizer.from_file(vocabulary(name))
+        found = ChunkEncoder(vocabulary(name), spaced).encode(texts)
+        assert [f.tolist() for f in found] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_files(spark):
     from tokenizers import Tokenizer
 
     path = vocabulary("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     df = docs(spark)
     order = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, r["text"] or "")
     wanted, start = [], 0

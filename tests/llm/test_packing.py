@@ -67,7 +67,6 @@ def test_pack(spark):
 
     path = vocabulary("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     df = docs(spark)
     wanted = collections.Counter()
     for r in df.collect():
