@@ -1,12 +1,11 @@
 """Token ids as compact files: an adaptive context-mixing range coder over independently reset blocks.
 
-In a block the id that last followed the same two ids (order 2) and the one that last followed the
-same id (order 1) are predicted, each with a confidence from its run of hits. Adaptive estimates say
-how far either is to be trusted; what they leave goes to the distribution of order 1 and, through an
-escape, to that of order 0. These two start from counts of the whole file, which its head holds, so
-that a reset block need not learn the vocabulary anew. All four are mixed into one interval of a
-range coder with 48 bits of state and 16-bit output. All numbers are integers, so files decode alike
-everywhere.
+In a block the id that last followed the same two ids (order 2) is predicted, with a confidence from
+its run of hits and an adaptive estimate of how far that is to be trusted. What it leaves goes to the
+distribution of order 1, whose escape leads to that of order 0. These two start from counts of the
+whole file, which its head holds, so that a reset block need not learn the vocabulary anew. Order 2
+and order 1 are mixed into one interval of a range coder with 48 bits of state and 16-bit output.
+All numbers are integers, so files decode alike everywhere.
 
 Blocks share nothing but the head: each is coded from fresh tables and estimates and has its length
 and the CRC-32 of its ids, so any of them can be decoded alone. The blocks of a file are coded side
@@ -30,12 +29,12 @@ from pyspark.sql import functions as F
 
 from .shared import arrow_map, column, encoder, runs, written
 
-#: Ids of a block, ids of a file (a longer document has one alone), bits of the two tables' places.
-BLOCK, FILE_IDS, BITS1, BITS2 = 2048, 4_000_000, 10, 11
-#: Pairs of ids that the head has: those seen so often, and so many of one context at most; all others are escaped to order 0.
-PAIR_TIMES, PAIRS_EACH = 3, 1 << 15
-#: Bits of the order-1 distributions and of the interval that all predictions share.
-BITS, MIXED = 16, 24
+#: Ids of a block at most and at least, blocks of a file that has ids for them (lanes are cheap, steps are not), ids of a file (a longer document has one alone), bits of the places of order 2.
+BLOCK, SHORT, LANES, FILE_IDS, PLACES = 2048, 256, 1536, 4_000_000, 11
+#: Order 1: bits of a distribution; contexts that have one, the most frequent; pairs of one at most, and how often a pair is seen at least. All other pairs escape to order 0.
+BITS, CONTEXTS, PAIRS, TIMES = 10, 4096, 512, 3
+#: Bits of order 0, at least, and of the interval that all share.
+BITS0, MIXED = 16, 16
 MAGIC, VERSION = b"LWTK", 2
 _NULL = -(2**63)
 _LOW32 = 2**32 - 1
@@ -84,31 +83,33 @@ class Prior:
         v = len(vocabulary)
         # Order 0: each id by how often no pair covers it.
         rest = np.maximum(times - np.bincount(pair, pair_times, v + 1)[1:].astype(np.int64), 0)
-        self.bits0 = max(BITS, v.bit_length() + 2)
+        self.bits0 = max(BITS0, v.bit_length() + 2)
         size0 = 1 + rest * ((1 << self.bits0) - v) // max(int(rest.sum()), 1)
         if v:
             size0[size0.argmax()] += (1 << self.bits0) - int(size0.sum())
         self.size0 = np.concatenate([[0], size0])
         self.start0 = np.cumsum(self.size0) - self.size0
-        # Order 1: the pairs of each context in order, then its escape.
-        n = np.concatenate([[0], of_context])
-        context = np.repeat(np.arange(v + 1), n)
-        seen = np.bincount(context, pair_times, v + 1).astype(np.int64)
-        total = np.maximum(np.concatenate([[0], times]) - seen, 1) + seen
-        size = 1 + pair_times * ((1 << BITS) - n - 1)[context] // total[context]
-        ends = np.cumsum(n + 1)
-        self.symbol, self.size = np.zeros(len(pair) + v + 1, np.int64), np.zeros(len(pair) + v + 1, np.int64)
-        at = np.arange(len(pair)) + context
-        self.symbol[at], self.size[at] = pair, size
-        self.escape = ends - 1
-        self.size[self.escape] = (1 << BITS) - np.bincount(context, size, v + 1).astype(np.int64)
-        before = np.cumsum(self.size) - self.size
-        self.start = before - np.repeat(before[ends - n - 1], n + 1)
-        self.keys = (np.repeat(np.arange(v + 1), n + 1) << BITS) + self.start
+        # Order 1: entry 0 is the escape of all contexts without pairs; each other context has its pairs, then its escape.
+        some = np.flatnonzero(of_context)
+        n = of_context[some]
+        row = np.repeat(np.arange(len(some)), n)
+        seen = np.bincount(row, pair_times, len(some)).astype(np.int64)
+        total = np.maximum(times[some] - seen, 1) + seen
+        size = 1 + pair_times * ((1 << BITS) - n - 1)[row] // total[row]
+        self.row = np.zeros(v + 1, np.int32)
+        self.row[some + 1] = np.arange(1, len(some) + 1)
+        self.escape = np.zeros(v + 1, np.int64)
+        self.escape[some + 1] = np.cumsum(n + 1)
+        self.symbol, self.size = np.zeros(len(pair) + len(some) + 1, np.uint32), np.zeros(len(pair) + len(some) + 1, np.int32)
+        self.pairs_at = np.arange(len(pair)) + row + 1
+        self.symbol[self.pairs_at], self.size[self.pairs_at] = pair, size
+        self.size[self.escape[some + 1]] = (1 << BITS) - np.bincount(row, size, len(some)).astype(np.int64)
+        self.size[0] = 1 << BITS
+        self.start = (np.cumsum(self.size, dtype=np.int64) - self.size).astype(np.int32) & np.int32((1 << BITS) - 1)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple[Prior, np.ndarray, np.ndarray]:
-        """(the prior of a file, the number of each id, the place of each pair's entry among those of order 1, or its context's escape)."""
+        """(the prior of a file, the number of each id, the entry of order 1 of each id after the one before it)."""
         vocabulary, number, times = counted(ids)
         number += 1
         v = len(vocabulary)
@@ -118,10 +119,13 @@ class Prior:
         order = np.lexsort((-counts, context))
         rank = np.empty(len(keys), np.int64)
         rank[order] = np.arange(len(keys)) - np.searchsorted(context, context[order])
-        kept = (counts >= PAIR_TIMES) & (rank < PAIRS_EACH) & (context > 0)
+        all_times = np.concatenate([[0], times])
+        frequent = np.zeros(v + 1, bool)
+        frequent[1 + np.argsort(-times, kind="stable")[:CONTEXTS]] = True
+        kept = frequent[context] & (counts >= TIMES) & (rank < PAIRS) & (counts << BITS >= all_times[context])
         prior = cls(vocabulary, times, np.bincount(context[kept], minlength=v + 1)[1:], second[kept], counts[kept])
-        entry = prior.escape[context] if len(keys) else context
-        entry[kept] = np.arange(int(kept.sum())) + context[kept]
+        entry = prior.escape[context]
+        entry[kept] = prior.pairs_at
         return prior, number, entry.take(of)
 
     def packed(self) -> bytes:
@@ -143,54 +147,39 @@ class Prior:
         base = np.concatenate([[0], total])[ends - of_context]
         return cls(np.cumsum(steps), times, of_context, total - np.repeat(base, of_context), pair_times), at
 
-    def slots(self) -> np.ndarray:
-        """The number that each of the 2**bits0 values of order 0 stands for."""
-        return np.repeat(np.arange(len(self.size0)), self.size0)
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the entry that each of the 2**BITS values of each row stands for, the number that each of the 2**bits0 values of order 0 does)."""
+        return np.repeat(np.arange(len(self.size), dtype=np.uint32), self.size), np.repeat(np.arange(len(self.size0), dtype=np.uint32), self.size0)
 
 
 class Model:
-    """Predictions of the next number of every lane, and what they learn from it."""
+    """What order 2 predicts for every lane, and what it learns."""
 
     def __init__(self, lanes: int):
         # An entry is a number and, in two bits, its run of hits; 0 is none.
-        self.next1, self.next2 = np.zeros(lanes << BITS1, np.uint32), np.zeros(lanes << BITS2, np.uint32)
-        # Estimates in 1/65536 of a hit by confidence and whether the orders agree; the upper half is for no prediction.
-        self.trust2, self.trust1 = np.full(lanes << 4, 16384, np.int64), np.full(lanes << 4, 8192, np.int64)
-        self.last1, self.last2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.next = np.zeros(lanes << PLACES, np.uint32)
+        # Estimates in 1/65536 of a hit, by confidence; the upper half is for no prediction.
+        self.trust = np.full(lanes << 3, 16384, np.int32)
+        self.last, self.last2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         lane = np.arange(lanes, dtype=np.int64)
-        self.row1, self.row2, self.row = lane << BITS1, lane << BITS2, lane << 4
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of 2**MIXED for an order-2 and for an order-1 hit, of the first n lanes."""
-        last = self.last1[:n]
-        self.at1 = self.row1[:n] + ((last * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS1))
-        self.at2 = self.row2[:n] + ((last * np.uint32(0x85EBCA6B) + self.last2[:n] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS2))
-        v1, v2 = self.next1.take(self.at1), self.next2.take(self.at2)
-        self.c1, self.c2 = v1 >> np.uint32(2), v2 >> np.uint32(2)
-        some2, other = v2 > 0, self.c1 != self.c2
-        base = self.row[:n] + other
-        self.i2 = base + ((v2 & np.uint32(3)).astype(np.int64) << 1) + (~some2 << np.int64(3))
-        self.e2 = self.trust2.take(self.i2)
-        two = self.e2 * some2
-        # Order 1 counts where it says something else than order 2.
-        self.tried = other & (v1 > 0)
-        self.i1 = base + ((v1 & np.uint32(3)).astype(np.int64) << 1) + (~self.tried << np.int64(3))
-        self.e1 = self.trust1.take(self.i1)
-        one = ((65536 - two) * self.e1 >> 8) * self.tried
-        self.k1, self.k2 = v1 & np.uint32(3), v2 & np.uint32(3)
-        return two << 8, one
-
-    def learn(self, n: int, now: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """now: the numbers. Trust moves between bounds that leave every other id a share: 63/64 for order 2, 3/4 for order 1."""
-        self.trust2[self.i2] = self.e2 + ((hit2 * np.int64(64512 - 256) + 256 - self.e2) >> 4)
-        missed = np.flatnonzero(~hit2)
-        e = self.e1.take(missed)
-        self.trust1[self.i1.take(missed)] = e + ((hit1.take(missed) * np.int64(49152 - 256) + 256 - e) >> 4)
-        entry, more, three = now << np.uint32(2), np.uint32(1), np.uint32(3)
-        self.next1[self.at1] = entry | np.minimum(self.k1 + more, three) * (self.c1 == now)
-        self.next2[self.at2] = entry | np.minimum(self.k2 + more, three) * hit2
-        self.last2[:n] = self.last1[:n]
-        self.last1[:n] = now
+        self.row, self.row8 = lane << PLACES, lane << 3
+
+    def predict(self, n: int) -> np.ndarray:
+        """Shares of 2**MIXED for a hit, of the first n lanes."""
+        self.at = self.row[:n] + ((self.last[:n] * np.uint32(0x85EBCA6B) + self.last2[:n] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - PLACES))
+        v = self.next.take(self.at)
+        self.number, self.run = v >> np.uint32(2), v & np.uint32(3)
+        some = v > 0
+        self.of = self.row8[:n] + self.run + (~some << np.uint32(2))
+        self.share = self.trust.take(self.of)
+        return self.share * some
+
+    def learn(self, n: int, now: np.ndarray, hit: np.ndarray) -> None:
+        """now: the numbers. Trust stays below 63/64, so that every other id keeps a share."""
+        self.trust[self.of] = self.share + ((hit * np.int32(64512 - 256) + np.int32(256) - self.share) >> np.int32(4))
+        self.next[self.at] = now << np.uint32(2) | np.minimum(self.run + np.uint32(1), np.uint32(3)) * hit
+        self.last2[:n] = self.last[:n]
+        self.last[:n] = now
 
 
 class Writer:
@@ -270,26 +259,31 @@ class Reader:
         self.code[lanes], self.range[lanes] = code, span
 
 
+def block_of(n: int) -> int:
+    """The length of the blocks of a file of n ids."""
+    return max(SHORT, min(BLOCK, -(-n // LANES)))
+
+
 def cut(ids: np.ndarray) -> list[np.ndarray]:
-    return [ids[at : at + BLOCK] for at in range(0, len(ids), BLOCK)]
+    block = block_of(len(ids))
+    return [ids[at : at + block] for at in range(0, len(ids), block)]
 
 
 def by_steps(values: np.ndarray) -> np.ndarray:
     """values of all blocks in a row as (step, lane); the last lane may be shorter."""
-    lanes = -(-len(values) // BLOCK)
-    steps = min(BLOCK, len(values))
+    block = block_of(len(values))
+    lanes, steps = -(-len(values) // block), min(block, len(values))
     grid = np.zeros(lanes * steps, values.dtype)
     grid[: len(values)] = values
     return np.ascontiguousarray(grid.reshape(lanes, steps).T)
 
 
-def mixed(hit2: np.ndarray, hit1: np.ndarray, two: np.ndarray, one: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of 2**MIXED: first an order-2 hit, then an order-1 hit, then the distribution of order 1 in what they leave."""
-    base = two + one
-    left = (1 << MIXED) - base
-    low = base + (left * start >> BITS)
-    high = base + (left * (start + size) >> BITS)
-    return np.where(hit2, 0, np.where(hit1, two, low)), np.where(hit2, two, np.where(hit1, one, high - low))
+def mixed(hit: np.ndarray, two: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of 2**MIXED: first a hit of order 2, then the distribution of order 1 in what that leaves."""
+    left = np.int32(1 << MIXED) - two
+    low = left * start >> np.int32(BITS)
+    high = left * (start + size) >> np.int32(BITS)
+    return np.where(hit, 0, two + low), np.where(hit, two, high - low)
 
 
 def encode_blocks(ids: np.ndarray) -> tuple[Prior, list[bytes]]:
@@ -298,22 +292,20 @@ def encode_blocks(ids: np.ndarray) -> tuple[Prior, list[bytes]]:
     if not len(ids):
         return prior, []
     numbers, entries = by_steps(number.astype(np.uint32)), by_steps(entry.astype(np.uint32))
-    lanes, last = numbers.shape[1], (len(ids) - 1) % BLOCK + 1
+    lanes, last = numbers.shape[1], (len(ids) - 1) % block_of(len(ids)) + 1
     model, out = Model(lanes), Writer(lanes, len(numbers))
     for t in range(len(numbers)):
         n = lanes - (t >= last)
-        now, at = numbers[t, :n], entries[t, :n]
-        if not t:
-            at = np.full(n, prior.escape[0])  # a block knows nothing of what came before it
-        two, one = model.predict(n)
-        hit2 = now == model.c2
-        hit1 = (now == model.c1) & ~hit2
-        out.put(slice(0, n), *mixed(hit2, hit1, two, one, prior.start.take(at), prior.size.take(at)), MIXED)
-        escaped = np.flatnonzero((prior.symbol.take(at) == 0) & ~(hit2 | hit1))
+        # A block knows nothing of what came before it.
+        now, at = numbers[t, :n], entries[t, :n] if t else np.zeros(n, np.uint32)
+        two = model.predict(n)
+        hit = now == model.number
+        out.put(slice(0, n), *mixed(hit, two, prior.start.take(at), prior.size.take(at)), MIXED)
+        escaped = np.flatnonzero((prior.symbol.take(at) == 0) & ~hit)
         if len(escaped):
             rest = now.take(escaped)
             out.put(escaped, prior.start0.take(rest), prior.size0.take(rest), prior.bits0)
-        model.learn(n, now, hit2, hit1)
+        model.learn(n, now, hit)
     return prior, out.finish()
 
 
@@ -323,30 +315,28 @@ def decode_blocks(prior: Prior, coded: list[bytes], lengths: list[int]) -> list[
         return []
     steps, lanes = lengths[0], len(coded)
     ends = np.searchsorted(-np.array(lengths), -np.arange(steps))
-    model, source, slots = Model(lanes), Reader(coded), prior.slots()
+    model, source, (slots, slots0) = Model(lanes), Reader(coded), prior.slots()
     grid = np.zeros((steps, lanes), np.uint32)
     for t in range(steps):
         n = int(ends[t])
-        two, one = model.predict(n)
+        two = model.predict(n)
         every = slice(0, n)
         code, r, value = source.values(every, MIXED)
-        base = two + one
-        hit2 = value < two
-        either = value < base
-        hit1 = either & ~hit2
-        # The largest start whose place in what the hits leave isn't beyond the value.
-        inner = ((np.maximum(value - base, 0) + 1 << BITS) - 1) // ((1 << MIXED) - base)
-        at = np.searchsorted(prior.keys, (model.last1[:n].astype(np.int64) << BITS) + np.minimum(inner, (1 << BITS) - 1), "right") - 1
-        source.take(every, code, r, *mixed(hit2, hit1, two, one, prior.start.take(at), prior.size.take(at)))
-        now = np.where(hit2, model.c2, np.where(hit1, model.c1, prior.symbol.take(at).astype(np.uint32)))
+        value = value.astype(np.int32)
+        hit = value < two
+        # The largest start whose place in what a hit leaves isn't beyond the value.
+        inner = (((value - two + np.int32(1)) << np.int32(BITS)) - np.int32(1)) // (np.int32(1 << MIXED) - two)
+        at = slots.take((prior.row.take(model.last[:n]) << np.int32(BITS)) + np.maximum(inner, 0))
+        source.take(every, code, r, *mixed(hit, two, prior.start.take(at), prior.size.take(at)))
+        now = np.where(hit, model.number, prior.symbol.take(at))
         escaped = np.flatnonzero(now == 0)
         if len(escaped):
             code, r, value = source.values(escaped, prior.bits0)
-            rest = slots.take(value)
+            rest = slots0.take(value)
             source.take(escaped, code, r, prior.start0.take(rest), prior.size0.take(rest))
             now[escaped] = rest
         grid[t, :n] = now
-        model.learn(n, now, hit2, hit1)
+        model.learn(n, now, hit)
     columns = prior.vocabulary.astype(np.uint32).take(np.ascontiguousarray(grid.T))
     return [columns[k, :m] for k, m in enumerate(lengths)]
 

@@ -66,8 +66,10 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 #: Letters, digits and other numbers of Latin-1, by Unicode's categories.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 #: How the two vocabularies split what has no white space but a first space or line end, for Latin-1.
-SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\n")
-DENSE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|[\n\r]")
+DENSE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+|\r")
+#: What stands between chunks, and between pieces, while many go together: white space that neither has.
+BETWEEN = "\r"
 
 
 def byte_letters() -> dict[int, int]:
@@ -77,6 +79,28 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(rest)}
 
 
+class Ragged:
+    """Rows of ids in one array."""
+
+    def __init__(self):
+        self.lengths, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def add_lists(self, rows: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.add(np.fromiter(itertools.chain.from_iterable(rows), np.uint32, int(lengths.sum())), lengths)
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """The ids of rows one after the other."""
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
+
+
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, each distinct white-space-delimited chunk encoded once.
 
@@ -86,8 +110,8 @@ class ChunkEncoder:
     white space or with a special token of the vocabulary, go through the library whole.
     """
 
-    #: Chunks, their characters, and pieces kept; at a limit a cache starts anew. Characters of a piece that is kept.
-    LIMIT, CHARS, PIECES, PIECE = 800_000, 16_000_000, 250_000, 64
+    #: Chunks and pieces kept, and characters of either; at a limit a cache starts anew.
+    LIMIT, PIECES, CHARS = 800_000, 400_000, 16_000_000
 
     def __init__(self, path: str, spaced: bool):
         """spaced: the vocabulary keeps white space (a chunk then takes the space or line end before it along)."""
@@ -100,15 +124,16 @@ class ChunkEncoder:
         self.spaced = spaced
         self.split = (SPACED if spaced else DENSE).findall
         self.letters = byte_letters()
-        self.pieces: dict[str, tuple[int, ...]] = {}
         self._reset()
+        self._reset_pieces()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.chars = 0
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.chars, self.ids = 0, Ragged()
+
+    def _reset_pieces(self) -> None:
+        self.pieces: dict[str, int] = {}
+        self.piece_chars, self.piece_ids = 0, Ragged()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         found = []
@@ -116,39 +141,37 @@ class ChunkEncoder:
             found += [e.ids for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
         return found
 
-    def _chunk(self, chunk: str) -> list[int] | None:
-        """Ids of a chunk, or None if it isn't Latin-1."""
-        try:
-            chunk.encode("latin-1")
-        except UnicodeEncodeError:
-            return None
-        ids: list[int] = []
-        for piece in self.split(chunk if self.spaced else chunk.lower()):
-            got = self.pieces.get(piece)
-            if got is None:
-                if len(self.pieces) >= self.PIECES:
-                    self.pieces.clear()
-                got = tuple([t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
-                if len(piece) <= self.PIECE:
-                    self.pieces[piece] = got
-            ids += got
-        return ids
+    def _latin(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of Latin-1 chunks in a row, and how many each has: all are split at once, and each piece that isn't known is merged once."""
+        joined = BETWEEN.join(chunks)
+        found = self.split(joined if self.spaced else joined.lower())
+        if len(self.pieces) > self.PIECES or self.piece_chars > self.CHARS:
+            self._reset_pieces()
+        new = [p for p in dict.fromkeys(found) if p not in self.pieces and p != BETWEEN]
+        if new:
+            joined = BETWEEN.join(new)
+            shown = joined.encode().decode("latin-1").translate(self.letters).split(chr(self.letters[ord(BETWEEN)]))
+            tokenize = self.tokenizer.model.tokenize
+            self.piece_ids.add_lists([[t.id for t in tokenize(p)] for p in shown])
+            self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new))))
+            self.piece_chars += len(joined)
+        at = np.fromiter(map(self.pieces.get, found, itertools.repeat(-1)), np.int64, len(found))
+        chunk = np.cumsum(at < 0)[at >= 0]
+        at = at[at >= 0]
+        return self.piece_ids.take(at), np.bincount(chunk, self.piece_ids.lengths[at], len(chunks)).astype(np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
         """Add chunks to the cache."""
+        latin = [c for c in chunks if c.isascii() or max(c) <= "\xff"]
+        other = [c for c in chunks if not c.isascii() and max(c) > "\xff"]
         # A chunk that follows a space is encoded with it.
-        given = [c if c[0] == "\n" else " " + c for c in chunks] if self.spaced else chunks
-        each = [self._chunk(c) for c in given]
-        other = [k for k, ids in enumerate(each) if ids is None]
-        for k, ids in zip(other, self._whole([given[k] for k in other])):
-            each[k] = ids
-        base, at = len(self.index), len(self.flat)
-        self.index.update(zip(chunks, range(base, base + len(chunks))))
+        given = lambda some: [c if c[0] == "\n" else " " + c for c in some] if self.spaced else some
+        if latin:
+            self.ids.add(*self._latin(given(latin)))
+        if other:
+            self.ids.add_lists(self._whole(given(other)))
+        self.index.update(zip(latin + other, range(len(self.index), len(self.index) + len(chunks))))
         self.chars += sum(map(len, chunks))
-        lengths = np.fromiter(map(len, each), np.int64, len(each))
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.starts = np.concatenate([self.starts, at + np.cumsum(lengths) - lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(each), np.uint32, int(lengths.sum()))])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as uint32."""
@@ -179,9 +202,9 @@ class ChunkEncoder:
                     new, missing = list(dict.fromkeys(chunks)), range(len(chunks))
                 self._learn(new)
                 at[missing] = np.fromiter((self.index[chunks[k]] for k in missing), np.int64, len(missing))
-            lengths = self.lengths[at]
+            lengths = self.ids.lengths[at]
             ends = np.cumsum(lengths)
-            ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
+            ids = self.ids.take(at)
             first = 0
             for i, words in run:
                 last = first + len(words)
