@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import arrow_map, column, encoder, runs, written
 
 #: Ids of a block at most and at least, blocks of a file that has ids for them (lanes are cheap, steps are not), ids of a file (a longer document has one alone), bits of the places of order 2.
-BLOCK, SHORT, LANES, FILE_IDS, PLACES = 2048, 256, 1536, 4_000_000, 11
+BLOCK, SHORT, LANES, FILE_IDS, PLACES = 2048, 512, 1536, 4_000_000, 11
 #: Order 1: bits of a distribution; contexts that have one, the most frequent; pairs of one at most, and how often a pair is seen at least. All other pairs escape to order 0.
 BITS, CONTEXTS, PAIRS, TIMES = 10, 4096, 512, 3
 #: Bits of order 0, at least, and of the interval that all share.
