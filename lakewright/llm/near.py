@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_map, runs, utf8, written
+from .shared import arrow_map, runs, unused, utf8, written
 from .words import WHITE, hashed, mix, ngrams
 
 N, THRESHOLD, RECALL, MAX_BANDS = 5, 0.8, 0.9999, 32
-#: Nodes and n-grams of a block of a candidate group; n-grams of a bundle of small groups; candidate nodes that are broadcast at most.
-BLOCK_NODES, BLOCK_GRAMS, BUNDLE_GRAMS, BROADCAST_NODES = 256, 1_000_000, 1_000_000, 500_000
+#: Nodes and n-grams of a block of a candidate group; n-grams of a bundle of small groups; candidate nodes, and ids, that are broadcast at most (about 50 MB); characters hashed at once.
+BLOCK_NODES, BLOCK_GRAMS, BUNDLE_GRAMS, BROADCAST_NODES, BROADCAST_IDS, PART = 256, 1_000_000, 1_000_000, 500_000, 2_000_000, 1_000_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_BANDS) -> tuple[int, int]:
@@ -81,7 +81,7 @@ def sketched(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             at = 0
-            for part in runs(batch.column(1).to_pylist(), lambda t: len(t or ""), 4_000_000):
+            for part in runs(batch.column(1).to_pylist(), lambda t: len(t or ""), PART):
                 words, counts = hashed([utf8(t) for t in part], WHITE)
                 keys = sequence_keys(words, counts).view(np.int64)
                 grams, made = ngrams(words, counts, n)
@@ -105,7 +105,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in runs(batch.column(0).to_pylist(), lambda t: len(t or ""), 4_000_000):
+            for part in runs(batch.column(0).to_pylist(), lambda t: len(t or ""), PART):
                 words, counts = hashed([utf8(t) for t in part], WHITE)
                 keys = sequence_keys(words, counts).view(np.int64)
                 grams, made = ngrams(words, counts, n)
@@ -237,9 +237,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: floa
 
 
 def dedupe(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
-    """The rows of docs that stand for their class: the one with its smallest doc_id. Of rows that repeat this id in a class, those with equal text leave one."""
-    joined = written(join(docs, threshold, n, recall), "classes")
-    keep = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    total, distinct = joined.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
-    return kept if total == distinct else kept.dropDuplicates(["doc_id", "text"])
+    """The rows of docs that stand for their class: those with its smallest doc_id. Of rows that repeat an id and its text one stays; of a repeated id all other texts stay where one of them does."""
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    ids = join(docs, threshold, n, recall).groupBy("doc_id").agg(F.bool_or(stays).alias("stays"), (F.count("*") > 1).alias("repeats"))
+    ids = written(ids, "ids")
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    count, unnamed, repeated = ids.agg(F.count_if(~F.col("stays")), some(~F.col("stays") & F.col("doc_id").isNull()), some(F.col("stays") & F.col("repeats"))).first()
+    # Rows that go are far fewer than those that stay; so long as their ids can be broadcast no text is shuffled.
+    name = unused(docs, "gone")
+    gone = ids.where("NOT stays AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name))
+    gone = F.broadcast(gone) if count <= BROADCAST_IDS else gone
+    kept = docs.where(F.col("doc_id").isNotNull()) if unnamed else docs
+    kept = kept.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

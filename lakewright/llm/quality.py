@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         for batch in batches:
             found = []
             if of:
-                for texts in runs(batch.column(at).to_pylist(), lambda t: len(t or ""), 8_000_000):
+                for texts in runs(batch.column(at).to_pylist(), lambda t: len(t or ""), 2_000_000):
                     found += [of(utf8(t)) for t in texts]
             scores = model.scores(np.array(found if of else np.zeros((batch.num_rows, 3)), float).reshape(-1, 3))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, score_col])

@@ -31,7 +31,7 @@ def clashing(df):
     """The same rows with columns named like those that operators add."""
     from pyspark.sql import functions as F
 
-    for c in ("score", "row", "block", "bucket", "n", "length", "start", "node", "root", "kind", "part", "key", "a", "b", "words"):
+    for c in ("score", "row", "block", "bucket", "n", "length", "start", "node", "root", "kind", "part", "key", "a", "b", "words", "gone", "ids", "hits", "found", "entities", "attempts", "stays", "_score", "_found", "_attempts", "_row", "_n_hit", "_n_words", "_items", "_kept", "_id", "_text", "_good"):
         df = df.withColumn(c, F.lit("x"))
     return df
 

@@ -19,19 +19,29 @@ def brute(rows, items):
     windows = collections.defaultdict(set)
     for i, t in items:
         w = words(t)
-        for k in range(max(len(w) - 10, 0) + 1 if w and i is not None else 0):
-            windows[tuple(w[k : k + 10])].add(str(i))
+        for k in range(max(len(w) - 10, 0) + 1 if w else 0):
+            windows[tuple(w[k : k + 10])].add("" if i is None else str(i))
     out = []
     for i, t in rows:
         w, found = words(t), set()
-        hit = [False] * len(w)
+        hit, longest = [False] * len(w), (0, None, None, None)
         for n in {len(k) for k in windows}:
             for k in range(len(w) - n + 1):
                 if tuple(w[k : k + n]) in windows:
                     hit[k : k + n] = [True] * n
                     found |= windows[tuple(w[k : k + n])]
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        out.append((i, len(w), sum(hit), len(found), digest, any(hit)))
+        if found:
+            for j, u in sorted(("" if j is None else str(j), u) for j, u in items):
+                v = words(u)
+                for a in range(len(v)):
+                    for b in range(len(w)):
+                        n = 0
+                        while a + n < len(v) and b + n < len(w) and v[a + n] == w[b + n]:
+                            n += 1
+                        if n >= min(10, len(v)) and (-n, b, j, a) < ((-longest[0], *longest[1:]) if longest[0] else (0,)):
+                            longest = (n, b, j, a)
+        out.append((i, len(w), sum(hit), len(found), digest, any(hit), *longest))
     return out
 
 
@@ -39,7 +49,7 @@ def items():
     t = [x for x in texts() if x]
     long = t[9].split()
     return [
-        (1, " ".join(t[4].split()[3:30])), (2, " ".join(t[4].split()[10:25]).upper()), (11, "one"), (20, None), (21, ""), (22, "..."), (None, "the"),
+        (1, " ".join(t[4].split()[3:30])), (2, " ".join(t[4].split()[10:25]).upper()), (11, "one"), (20, None), (21, ""), (22, "..."), (None, "x918 no"), (None, "id here"),
         (3, " ".join(long[500:560])), (3, " ".join(long[900:903])), (30, " ".join(long[100:107]) + " unheard"), (31, "never said before in any of these documents that we have"),
     ]
 
@@ -77,7 +87,6 @@ def test_longest_matches(spark):
     tests = [(k, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 60)))) for k in range(6)]
     tests.append((9, " ".join(rows[3][1].split()[2:60])))
     found = {(r["item_id"], r["start"]): r for r in decontaminate.longest_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(tests, ITEMS)).collect()}
-    lead = min(decontaminate.LEAD, min(min(len(words(t)), 10) for _, t in tests))
     docs_ = {i: words(t) for i, t in rows}
     for i, t in tests:
         w = words(t)
@@ -89,14 +98,13 @@ def test_longest_matches(spark):
                     while s + n < len(w) and p + n < len(d) and w[s + n] == d[p + n]:
                         n += 1
                     best = max(best, n)
-            # Places that share no test window's first words aren't in the array; longer matches from window starts are.
-            if best >= 10 or s + 10 <= len(w) and best >= lead:
+            if best:
                 r = found[str(i), s]
                 assert r["length"] == best and docs_[r["doc_id"]][r["place"] : r["place"] + best] == w[s : s + best]
 
 
 def test_longest_matches_of_every_suffix(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "FULL_BYTES", 300, raising=False)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 300)
     rnd = random.Random(6)
     vocab = [f"v{k}" for k in range(40)]
     rows = [(k, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 40)))) for k in range(12)]

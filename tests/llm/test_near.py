@@ -102,6 +102,16 @@ def test_dedupe_keeps_one_of_each(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     assert collections.Counter(i for i in ids if i is not None) == collections.Counter(wanted)
     assert near.dedupe(empty(spark)).count() == 0
+    wide = clashing(df)
+    assert sorted(r["doc_id"] or -1 for r in near.dedupe(wide).collect()) == sorted(i or -1 for i in ids) and near.dedupe(wide).columns == wide.columns
+
+
+def test_dedupe_joins_alike_beyond_the_broadcast(spark, monkeypatch):
+    df = docs(spark)
+    key = lambda r: (r["doc_id"] or -1, r["text"] or "")
+    one = sorted(near.dedupe(df).collect(), key=key)
+    monkeypatch.setattr(near, "BROADCAST_IDS", 0)
+    assert sorted(near.dedupe(df).collect(), key=key) == one
 
 
 def test_components(spark):
