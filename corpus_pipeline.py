@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; its
 result is written as Parquet and read again for the next one. All but the last return the columns
-of documents. An empty table passes through every stage; null texts count as empty ones.
+of documents.
+
+Defined results: an empty table passes through every stage; null texts count as empty ones; texts of
+any length are taken whole; of rows with one doc_id and text one stays, of near copies that with the
+smallest doc_id; equal texts get equal scores and surrogates; further columns of any name pass
+through all stages but the last.
 """
 
 from __future__ import annotations
@@ -12,14 +17,15 @@ from pyspark.sql import functions as F
 
 from lakewright.llm import decontaminate, near, packing, quality, surrogates
 from lakewright.llm.queries import vocabulary
-from lakewright.llm.shared import written
+from lakewright.llm.shared import unused, written
 from lakewright.session import table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the compression classifier accepts. It learns from the labelled rows of documents."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, score_col="_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    name = unused(docs, "score")
+    return quality.score(docs, model, score_col=name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

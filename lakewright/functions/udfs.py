@@ -36,11 +36,12 @@ class SplitWords:
             yield word, k
 
 
-def centred(df: DataFrame, key: str, value: str) -> DataFrame:
-    """A grouped map: each value less its group's mean. A group must fit in a task; a window does the same without that limit."""
+def centred(df: DataFrame, key: str, value: str, scale: int = 4) -> DataFrame:
+    """A grouped map: each value less its group's mean, over integers of 10**-scale, so that neither the order of rows nor the rounding of sums counts. A group must fit in a task; a window does the same without that limit."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        return group.assign(centred=group[value] - group[value].mean())
+        units = (group[value] * 10**scale).round().astype("int64")
+        return group.assign(centred=(units * len(units) - int(units.sum())) / (len(units) * 10**scale))
 
     return df.select(key, value).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {value} double, centred double")
 

@@ -50,40 +50,49 @@ def groups_frame(df: DataFrame, keys: list[str], order: str, preceding: int, fol
 
 
 def sum_of_others(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """EXCLUDE CURRENT ROW for a sum over the whole partition."""
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys)) - F.col(value))
+    """EXCLUDE CURRENT ROW for a sum over the whole partition: null where no other row has a value."""
+    w = Window.partitionBy(*keys)
+    others = F.count(value).over(w) - F.col(value).isNotNull().cast("int")
+    return df.withColumn(name, F.when(others > 0, F.sum(value).over(w) - F.coalesce(F.col(value), F.lit(0))))
 
 
-def max_of_others(df: DataFrame, keys: list[str], order: list, value: str, name: str) -> DataFrame:
-    """EXCLUDE CURRENT ROW for a maximum: of what precedes and what follows."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    return df.withColumn(name, F.greatest(F.max(value).over(before), F.max(value).over(after)))
+def max_of_others(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """EXCLUDE CURRENT ROW for a maximum: the second largest value for the only row with the largest, which all others get. No frame, so linear in the partition."""
+    w = Window.partitionBy(*keys)
+    top, v = F.max(value).over(w), F.col(value)
+    marked = df.withColumn("_top", top).withColumn("_ties", F.sum((v == F.col("_top")).cast("int")).over(w))
+    below = F.max(F.when(v < F.col("_top"), v)).over(w)
+    return marked.withColumn(name, F.when((v == F.col("_top")) & (F.col("_ties") == 1), below).otherwise(F.col("_top"))).drop("_top", "_ties")
 
 
 def reachable(edges: DataFrame, start: DataFrame, limit: int = 1000) -> DataFrame:
     """Recursion with UNION: all nodes that (src, dst) edges lead to from start (node).
 
-    Each round joins only what the last one found and is checkpointed, so plans don't grow.
+    Each round joins only what the last one found, and checkpoints only that, so plans don't grow
+    and no round writes again what earlier ones found.
     """
-    seen = start.select("node").distinct().checkpoint()
-    fresh = seen
+    fresh = start.select("node").distinct().checkpoint()
+    seen = fresh
     for _ in range(limit):
         step = fresh.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         fresh = step.join(seen, "node", "left_anti").checkpoint()
         if not fresh.limit(1).count():
             return seen
-        seen = seen.unionByName(fresh).checkpoint()
+        seen = seen.unionByName(fresh)
     raise RuntimeError(f"no fixpoint after {limit} rounds")
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int, how: str = "inner") -> DataFrame:
     """A join that spreads each key of big over several tasks; small is repeated salts times. For keys that AQE cannot split (outer sides, later aggregates on the key)."""
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"{how}: rows of small are repeated, so only joins that keep rows of big can be salted")
     left = big.withColumn("_s", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
     right = small.withColumn("_s", F.explode(F.array(*[F.lit(k).cast("long") for k in range(salts)])))
     return left.join(right, [key, "_s"], how).drop("_s")
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, for Spark to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint if its rows, as the width of their types and texts tells, have at most so many bytes; else as it is, for Spark to shuffle."""
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    size = df.agg(F.sum(sum(text, F.lit(16 + 8 * len(df.columns)).cast("long")))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df

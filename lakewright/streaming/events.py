@@ -11,21 +11,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def stream_of(spark: SparkSession, path: str, schema, delay: str = "1 hour") -> DataFrame:
+    """The rows of a folder that others add files to."""
+    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str = "events", delay: str = "1 hour", files: int = 1) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     read = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files).parquet(sf_dir)
     return read.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def settled(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """All that is there now, run to its end into a table in memory: for results of a few rows."""
+def settled(df: DataFrame, path: str | None = None, mode: str = "complete") -> DataFrame:
+    """All that is there now, run to its end. Without a path complete results (a few rows) go to a table in memory; with one, Parquet takes what each batch gives, and none of it passes the driver."""
+    spark = df.sparkSession
+    if path:
+        batches_into(df, path, mode)
+        found = spark.read.parquet(path)
+        return (found.where(F.col("batch") == found.agg(F.max("batch")).first()[0]) if mode == "complete" else found).drop("batch")
     name = f"stream_{uuid.uuid4().hex}"
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return df.sparkSession.table(name)
+    return spark.table(name)
 
 
 def tumbling(events: DataFrame, width: str = "1 day") -> DataFrame:
@@ -68,11 +78,11 @@ def running_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long", "n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def batches_into(df: DataFrame, path: str) -> None:
-    """foreachBatch: each micro-batch in a folder named by its number, so that a repeated batch overwrites itself."""
+def batches_into(df: DataFrame, path: str, mode: str = "append") -> None:
+    """foreachBatch: each micro-batch in a folder named by its number, so that a repeated batch overwrites itself. Its state is kept beside path: called again, it goes on from there."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = df.writeStream.foreachBatch(put).trigger(availableNow=True).start()
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
