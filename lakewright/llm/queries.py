@@ -8,6 +8,10 @@ from ..session import table
 from . import chat, coder, decontaminate, edits, flac, katz, near, packing, quality, surrogates
 
 
+#: For these tables, which hold no real persons. Real data need a secret key of their own.
+SURROGATE_KEY = "lakewright"
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -31,7 +35,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, count_col="n_entities")
 
 
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
