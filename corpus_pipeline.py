@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.llm import decontaminate, near, packing, quality, surrogates
-from lakewright.llm.queries import vocabulary
+from lakewright.llm.queries import SURROGATE_KEY, vocabulary
 from lakewright.llm.shared import unused, written
 from lakewright.session import table
 
@@ -40,7 +40,7 @@ def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; n_chars follows the text."""
-    found = surrogates.pseudonymise(docs)
+    found = surrogates.pseudonymise(docs, SURROGATE_KEY)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
