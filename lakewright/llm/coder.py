@@ -31,8 +31,10 @@ from .shared import arrow_map, column, encoder, runs, written
 
 #: Ids of a block at most and at least, blocks of a file that has ids for them (lanes are cheap, steps are not), ids of a file (a longer document has one alone), bits of the places of order 2.
 BLOCK, SHORT, LANES, FILE_IDS, PLACES = 2048, 512, 1536, 4_000_000, 11
-#: Order 1: bits of a distribution; contexts that have one, the most frequent; pairs of one at most, and how often a pair is seen at least. All other pairs escape to order 0.
-BITS, CONTEXTS, PAIRS, TIMES = 10, 4096, 512, 3
+#: Order 1: bits of a distribution; contexts that have one, the most frequent; pairs of one at most, and how often a pair is counted at least. All other pairs escape to order 0.
+BITS, CONTEXTS, PAIRS, TIMES = 10, 4096, 512, 2
+#: Every so manieth pair is counted for the head; the counts only shape the distributions.
+EVERY = 3
 #: Bits of order 0, at least, and of the interval that all share.
 BITS0, MIXED = 16, 16
 MAGIC, VERSION = b"LWTK", 2
@@ -113,20 +115,37 @@ class Prior:
         vocabulary, number, times = counted(ids)
         number += 1
         v = len(vocabulary)
-        before = np.concatenate([number[:1] * 0, number[:-1]])
-        keys, of, counts = counted(before * (v + 1) + number)
-        context, second = keys // (v + 1), keys % (v + 1)
+        kind = np.int32 if (v + 1) ** 2 < 1 << 31 else np.int64
+        number = number.astype(kind)
+        pairs = np.zeros(len(number), kind)
+        np.multiply(number[:-1], kind(v + 1), out=pairs[1:])
+        pairs += number
+        table = (v + 1) ** 2 <= 4 * len(ids) + (1 << 16)
+        if table:
+            counts = np.bincount(pairs[::EVERY], minlength=(v + 1) ** 2)
+            keys = np.flatnonzero(counts >= TIMES)
+            counts = counts[keys]
+        else:
+            keys, counts = np.unique(pairs[::EVERY], return_counts=True)
+            keys, counts = keys[counts >= TIMES].astype(np.int64), counts[counts >= TIMES]
+        context, counts = keys // (v + 1), counts * EVERY
         order = np.lexsort((-counts, context))
         rank = np.empty(len(keys), np.int64)
         rank[order] = np.arange(len(keys)) - np.searchsorted(context, context[order])
-        all_times = np.concatenate([[0], times])
         frequent = np.zeros(v + 1, bool)
         frequent[1 + np.argsort(-times, kind="stable")[:CONTEXTS]] = True
-        kept = frequent[context] & (counts >= TIMES) & (rank < PAIRS) & (counts << BITS >= all_times[context])
-        prior = cls(vocabulary, times, np.bincount(context[kept], minlength=v + 1)[1:], second[kept], counts[kept])
-        entry = prior.escape[context]
-        entry[kept] = prior.pairs_at
-        return prior, number, entry.take(of)
+        kept = frequent[context] & (rank < PAIRS) & (counts << BITS >= np.concatenate([[0], times])[context])
+        keys, context = keys[kept], context[kept]
+        prior = cls(vocabulary, times, np.bincount(context, minlength=v + 1)[1:], keys % (v + 1), counts[kept])
+        if table:
+            entries = np.repeat(prior.escape.astype(np.int32), v + 1)
+            entries[keys] = prior.pairs_at
+            return prior, number, entries.take(pairs)
+        entry = prior.escape.take(pairs // (v + 1))
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+            entry = np.where(keys[at] == pairs, prior.pairs_at[at], entry)
+        return prior, number, entry
 
     def packed(self) -> bytes:
         vocabulary, times, of_context, pair, pair_times = self.parts

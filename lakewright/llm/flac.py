@@ -19,9 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import column, runs, utf8
+from .shared import arrow_map, column, runs, utf8
 
 #: Samples of an encoded frame; bytes of frames decoded side by side; predictor order and coefficient bits of the encoder.
 BLOCK, GROUP_BYTES, ORDER, PRECISION = 4096, 5_000_000, 4, 12
@@ -583,7 +584,7 @@ def decode_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "me
                 columns = list(zip(*out)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[id_col, "block", "byte_offset", "sample_offset", "n_samples", "pcm"])
 
-    return media.select(id_col, media_col).mapInArrow(run, f"{id_col} {kind}, {BLOCKS}")
+    return arrow_map(media.select(id_col, media_col), run, f"{id_col} {kind}, {BLOCKS}")
 
 
 def encode_texts(docs: DataFrame) -> DataFrame:
@@ -600,30 +601,52 @@ def encode_texts(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_bytes", "media"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def digest(media: DataFrame) -> DataFrame:
-    """What the stored streams hold, by decoding them: digests of payload and stream, and a feature of the blocks."""
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media_bytes, media_sha256 and blocks (byte_offset, sample_offset, n_samples, pcm) of every stored stream, decoded with all checksums held: the offsets let a reader take single blocks. No shuffle."""
+    kind = media.schema["doc_id"].dataType.simpleString()
+    block = pa.struct([("byte_offset", pa.int64()), ("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in runs(list(zip(*(column(batch, c) for c in ("doc_id", "n_bytes", "media")))), lambda r: len(r[2] or b""), 2_000_000):
+                found = decode([s for _, _, s in rows])
+                out = [
+                    (i, n, len(s), hashlib.sha256(s).hexdigest(), [dict(zip(("byte_offset", "sample_offset", "n_samples", "pcm"), b)) for b in blocks])
+                    for (i, n, s), blocks in zip(rows, found)
+                ]
+                kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.list_(block)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
+
+    fields = "blocks array<struct<byte_offset:long,sample_offset:long,n_samples:long,pcm:binary>>"
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), run, f"doc_id {kind}, n_bytes long, media_bytes long, media_sha256 string, {fields}")
+
+
+def digest(pcm: DataFrame) -> DataFrame:
+    """What the stored PCM blocks (as of pcm_blocks()) hold: digests of the payload, and a feature of the blocks."""
     import zlib
 
-    kind = media.schema["doc_id"].dataType.simpleString()
+    kind = pcm.schema["doc_id"].dataType.simpleString()
     fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in runs(list(zip(*(column(batch, c) for c in ("doc_id", "n_bytes", "media")))), lambda r: len(r[2] or b""), 4_000_000):
-                out = []
-                for (doc_id, n_bytes, stream), found in zip(rows, decode([s for _, _, s in rows])):
-                    payload = (np.frombuffer(b"".join([b[3] for b in found]), np.uint8) ^ 0x80).tobytes()
-                    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-                    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-                    feature = f"blocks={len(found)};energy={int((x * x).sum())};crossings={crossings};peak={int(np.abs(x).max())}"
-                    out.append(
-                        (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(stream), hashlib.sha256(stream).hexdigest(), feature)
-                    )
-                kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, {fields}")
+            blocks = batch.column(4)
+            # Samples of all blocks of a row, without a Python object a block.
+            data, ends = blocks.flatten().field("pcm"), np.cumsum([n or 0 for n in pc.list_value_length(blocks).to_pylist()])
+            out, first = [], 0
+            for doc_id, n_bytes, media_bytes, media_sha256, last in zip(*(batch.column(c).to_pylist() for c in range(4)), ends.tolist()):
+                payload = (np.frombuffer(b"".join(data.slice(first, last - first).to_pylist()), np.uint8) ^ 0x80).tobytes()
+                x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+                crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+                feature = f"blocks={last - first};energy={int((x * x).sum())};crossings={crossings};peak={int(np.abs(x).max())}"
+                out.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), media_bytes, media_sha256, feature))
+                first = last
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            columns = list(zip(*out)) if out else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return arrow_map(pcm.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"), run, f"doc_id {kind}, n_bytes long, {fields}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from . import chat, coder, decontaminate, edits, flac, katz, near, packing, quality, surrogates
+from .shared import written
 
 
 #: For these tables, which hold no real persons. Real data need a secret key of their own.
@@ -55,7 +56,8 @@ def op9_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.digest(flac.encode_texts(table(spark, sf_dir, "documents")))
+    media = written(flac.encode_texts(table(spark, sf_dir, "documents")), "flac")
+    return flac.digest(written(flac.pcm_blocks(media), "pcm"))
 
 
 def queries() -> dict:

@@ -118,8 +118,10 @@ class ChunkEncoder:
     white space or with a special token of the vocabulary, go through the library whole.
     """
 
-    #: Chunks and pieces kept, and characters of either; at a limit a cache starts anew.
-    LIMIT, PIECES, CHARS = 800_000, 400_000, 16_000_000
+    #: Chunks and pieces kept, and characters of either; a full cache of pieces starts anew, one of chunks only where it misses more than so large a share.
+    LIMIT, PIECES, CHARS, MISSES = 800_000, 400_000, 16_000_000, 0.2
+    #: The most frequent chunks, in a cache so small that processors hold it.
+    HOT = 16_384
 
     def __init__(self, path: str, spaced: bool):
         """spaced: the vocabulary keeps white space (a chunk then takes the space or line end before it along)."""
@@ -137,6 +139,7 @@ class ChunkEncoder:
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
+        self.hot: dict[str, int] = {}
         self.chars, self.ids = 0, Ragged()
 
     def _reset_pieces(self) -> None:
@@ -168,18 +171,18 @@ class ChunkEncoder:
         at = at[at >= 0]
         return self.piece_ids.take(at), np.bincount(chunk, self.piece_ids.lengths[at], len(chunks)).astype(np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Add chunks to the cache."""
+    def _encoded(self, chunks: list[str], ids: Ragged) -> tuple[list[str], range]:
+        """Add the ids of chunks to ids: (chunks in their new order, their places there)."""
         latin = [c for c in chunks if c.isascii() or max(c) <= "\xff"]
         other = [c for c in chunks if not c.isascii() and max(c) > "\xff"]
+        first = len(ids.lengths)
         # A chunk that follows a space is encoded with it.
         given = lambda some: [c if c[0] == "\n" else " " + c for c in some] if self.spaced else some
         if latin:
-            self.ids.add(*self._latin(given(latin)))
+            ids.add(*self._latin(given(latin)))
         if other:
-            self.ids.add_lists(self._whole(given(other)))
-        self.index.update(zip(latin + other, range(len(self.index), len(self.index) + len(chunks))))
-        self.chars += sum(map(len, chunks))
+            ids.add_lists(self._whole(given(other)))
+        return latin + other, range(first, first + len(chunks))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as uint32."""
@@ -201,18 +204,35 @@ class ChunkEncoder:
             out[i] = np.array(ids, np.uint32)
         for run in runs(plain, lambda p: len(p[1]), 1_000_000):
             chunks = [c for _, words in run for c in words]
-            at = np.fromiter(map(self.index.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
-            missing = np.flatnonzero(at < 0).tolist()
-            if missing:
-                new = list(dict.fromkeys(chunks[k] for k in missing))
-                if len(self.index) + len(new) > self.LIMIT or self.chars > self.CHARS:
-                    self._reset()
-                    new, missing = list(dict.fromkeys(chunks)), range(len(chunks))
-                self._learn(new)
-                at[missing] = np.fromiter((self.index[chunks[k]] for k in missing), np.int64, len(missing))
-            lengths = self.ids.lengths[at]
+            at = np.fromiter(map(self.hot.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+            rest = np.flatnonzero(at < 0)
+            some = [chunks[k] for k in rest.tolist()]
+            found = np.fromiter(map(self.index.get, some, itertools.repeat(-1)), np.int64, len(some))
+            new = list(dict.fromkeys(some[k] for k in np.flatnonzero(found < 0).tolist()))
+            full = len(self.index) + len(new) > self.LIMIT or self.chars > self.CHARS
+            ids = self.ids
+            if full and (found < 0).sum() > self.MISSES * len(chunks):
+                self._reset()
+                new, rest, some = list(dict.fromkeys(chunks)), np.arange(len(chunks)), chunks
+                full, ids = False, self.ids
+            if full and new:
+                # Kept for this run only.
+                ids = Ragged()
+                ids.add(self.ids.flat, self.ids.lengths)
+                more = dict(zip(*self._encoded(new, ids)))
+                found[found < 0] = np.fromiter((more[some[k]] for k in np.flatnonzero(found < 0).tolist()), np.int64)
+            elif new:
+                self.index.update(zip(*self._encoded(new, ids)))
+                self.chars += sum(map(len, new))
+                found = np.fromiter(map(self.index.get, some), np.int64, len(some))
+            at[rest] = found
+            if not self.hot:
+                often = np.bincount(at, minlength=1)
+                names = dict(zip(at.tolist(), chunks))
+                self.hot = {names[k]: k for k in np.argsort(-often, kind="stable")[: self.HOT].tolist() if often[k] > 1}
+            lengths = ids.lengths[at]
             ends = np.cumsum(lengths)
-            ids = self.ids.take(at)
+            ids = ids.take(at)
             first = 0
             for i, words in run:
                 last = first + len(words)

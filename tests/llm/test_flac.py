@@ -117,7 +117,7 @@ def test_stereo_partitions_escapes_and_wasted_bits():
 
 def test_digest(spark):
     df = docs(spark)
-    rows = flac.digest(flac.encode_texts(clashing(df))).collect()
+    rows = flac.digest(flac.pcm_blocks(flac.encode_texts(clashing(df)))).collect()
     wanted = []
     for r in df.collect():
         data = (r["text"] or "").encode()
@@ -127,7 +127,17 @@ def test_digest(spark):
     media = {}
     for r in rows:
         assert media.setdefault(r["payload_sha256"], (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
-    assert flac.digest(flac.encode_texts(empty(spark))).count() == 0
+    assert flac.digest(flac.pcm_blocks(flac.encode_texts(empty(spark)))).count() == 0
+    for r, text in zip(rows, [{q["doc_id"]: q["text"] for q in df.collect()}[r["doc_id"]] for r in rows]):
+        data = (text or "").encode()
+        padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+        stream = flac.encode([padded])[0]
+        x = [b - 128 for b in padded]
+        blocks = flac.decode([stream])[0]
+        assert b"".join(b[3] for b in blocks) == bytes(b ^ 0x80 for b in padded) and [b[1] for b in blocks] == [sum(c[2] for c in blocks[:k]) for k in range(len(blocks))]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stream), hashlib.sha256(stream).hexdigest())
+        assert r["feature"] == f"blocks={len(blocks)};energy={sum(v * v for v in x)};crossings={crossings};peak={max(map(abs, x))}"
 
 
 def test_decoded_blocks(spark):
