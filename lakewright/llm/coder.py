@@ -31,10 +31,8 @@ from .shared import arrow_map, column, encoder, runs, written
 
 #: Ids of a block at most and at least, blocks of a file that has ids for them (lanes are cheap, steps are not), ids of a file (a longer document has one alone), bits of the places of order 2.
 BLOCK, SHORT, LANES, FILE_IDS, PLACES = 2048, 512, 1536, 4_000_000, 11
-#: Order 1: bits of a distribution; contexts that have one, the most frequent; pairs of one at most, and how often a pair is counted at least. All other pairs escape to order 0.
+#: Order 1: bits of a distribution; contexts that have one, the most frequent; pairs of one at most, and how often a pair occurs at least. All other pairs escape to order 0.
 BITS, CONTEXTS, PAIRS, TIMES = 10, 4096, 512, 2
-#: Every so manieth pair is counted for the head; the counts only shape the distributions.
-EVERY = 3
 #: Bits of order 0, at least, and of the interval that all share.
 BITS0, MIXED = 16, 16
 MAGIC, VERSION = b"LWTK", 2
@@ -122,13 +120,13 @@ class Prior:
         pairs += number
         table = (v + 1) ** 2 <= 4 * len(ids) + (1 << 16)
         if table:
-            counts = np.bincount(pairs[::EVERY], minlength=(v + 1) ** 2)
+            counts = np.bincount(pairs, minlength=(v + 1) ** 2)
             keys = np.flatnonzero(counts >= TIMES)
             counts = counts[keys]
         else:
-            keys, counts = np.unique(pairs[::EVERY], return_counts=True)
+            keys, counts = np.unique(pairs, return_counts=True)
             keys, counts = keys[counts >= TIMES].astype(np.int64), counts[counts >= TIMES]
-        context, counts = keys // (v + 1), counts * EVERY
+        context = keys // (v + 1)
         order = np.lexsort((-counts, context))
         rank = np.empty(len(keys), np.int64)
         rank[order] = np.arange(len(keys)) - np.searchsorted(context, context[order])

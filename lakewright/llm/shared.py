@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,8 +121,6 @@ class ChunkEncoder:
 
     #: Chunks and pieces kept, and characters of either; a full cache of pieces starts anew, one of chunks only where it misses more than so large a share.
     LIMIT, PIECES, CHARS, MISSES = 800_000, 400_000, 16_000_000, 0.2
-    #: The most frequent chunks, in a cache so small that processors hold it.
-    HOT = 16_384
 
     def __init__(self, path: str, spaced: bool):
         """spaced: the vocabulary keeps white space (a chunk then takes the space or line end before it along)."""
@@ -139,8 +138,8 @@ class ChunkEncoder:
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.hot: dict[str, int] = {}
         self.chars, self.ids = 0, Ragged()
+        self.ids.add_lists([[]])
 
     def _reset_pieces(self) -> None:
         self.pieces: dict[str, int] = {}
@@ -184,60 +183,59 @@ class ChunkEncoder:
             ids.add_lists(self._whole(given(other)))
         return latin + other, range(first, first + len(chunks))
 
+    def _odd(self, chunks: list[str]) -> list[str]:
+        """Those chunks that are empty or hold white space of another kind."""
+        cores = [c.removeprefix("\n") for c in chunks] if self.spaced else chunks
+        return [] if " ".join(cores).split() == cores else [c for c, core in zip(chunks, cores) if core.split() != [core]]
+
+    def _places(self, chunks: list[str], times: np.ndarray) -> tuple[Ragged, np.ndarray]:
+        """(ids, the place in them of each of some distinct chunks that occur so many times); place 0 is that of odd chunks."""
+        at = np.fromiter(map(self.index.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(at < 0)
+        full = len(self.index) + len(missing) > self.LIMIT or self.chars > self.CHARS
+        if full and times[missing].sum() > self.MISSES * times.sum():
+            self._reset()
+            missing, full = np.arange(len(chunks)), False
+        if not len(missing):
+            return self.ids, at
+        new = [chunks[k] for k in missing.tolist()]
+        odd = self._odd(new)
+        found, ids = dict.fromkeys(odd, 0), self.ids
+        if full:
+            # Kept for this run only.
+            ids = Ragged()
+            ids.add(self.ids.flat, self.ids.lengths)
+        found.update(zip(*self._encoded([c for c in new if c not in found] if odd else new, ids)))
+        at[missing] = np.fromiter(map(found.__getitem__, new), np.int64, len(new))
+        if not full:
+            self.index.update(found)
+            self.chars += sum(map(len, new))
+        return ids, at
+
+    def _run(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of texts that aren't empty, by their chunks; None where a text has white space of another kind."""
+        # A chunk that starts a text or follows a line end has a line end before it where white space is kept.
+        shown = [("\n" + t).replace("\n", " \n")[1:] for t in texts] if self.spaced else [t.replace("\n", " ") for t in texts]
+        rows = pc.split_pattern(pa.array(shown, pa.large_string()), " ")
+        chunks = rows.flatten().dictionary_encode()
+        which = chunks.indices.to_numpy()
+        ids, at = self._places(chunks.dictionary.to_pylist(), np.bincount(which))
+        at = at.take(which)
+        first = rows.offsets.to_numpy().astype(np.int64)
+        whole = np.minimum.reduceat(at, first[:-1]) > 0
+        ends = np.concatenate([[0], np.cumsum(ids.lengths.take(at))]).take(first)
+        found = ids.take(at)
+        return [found[lo + self.spaced : hi] if ok else None for lo, hi, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), whole.tolist())]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as uint32."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        plain: list[tuple[int, list[str]]] = []
-        odd: list[int] = []
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = np.zeros(0, np.uint32)
-                continue
-            words = text.split()
-            if " ".join(words) != text.replace("\n", " ") or any(s in text for s in self.special):
-                odd.append(i)
-            elif self.spaced:
-                plain.append((i, ("\n" + text).replace("\n", " \n").split(" ")[1:]))
-            else:
-                plain.append((i, words))
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
+        out: list[np.ndarray | None] = [None if t else np.zeros(0, np.uint32) for t in texts]
+        for run in runs([i for i, t in enumerate(texts) if t and not any(s in t for s in self.special)], lambda i: len(texts[i]), 4_000_000):
+            for i, ids in zip(run, self._run([texts[i] for i in run])):
+                out[i] = ids
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._whole([texts[i] for i in rest])):
             out[i] = np.array(ids, np.uint32)
-        for run in runs(plain, lambda p: len(p[1]), 1_000_000):
-            chunks = [c for _, words in run for c in words]
-            at = np.fromiter(map(self.hot.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
-            rest = np.flatnonzero(at < 0)
-            some = [chunks[k] for k in rest.tolist()]
-            found = np.fromiter(map(self.index.get, some, itertools.repeat(-1)), np.int64, len(some))
-            new = list(dict.fromkeys(some[k] for k in np.flatnonzero(found < 0).tolist()))
-            full = len(self.index) + len(new) > self.LIMIT or self.chars > self.CHARS
-            ids = self.ids
-            if full and (found < 0).sum() > self.MISSES * len(chunks):
-                self._reset()
-                new, rest, some = list(dict.fromkeys(chunks)), np.arange(len(chunks)), chunks
-                full, ids = False, self.ids
-            if full and new:
-                # Kept for this run only.
-                ids = Ragged()
-                ids.add(self.ids.flat, self.ids.lengths)
-                more = dict(zip(*self._encoded(new, ids)))
-                found[found < 0] = np.fromiter((more[some[k]] for k in np.flatnonzero(found < 0).tolist()), np.int64)
-            elif new:
-                self.index.update(zip(*self._encoded(new, ids)))
-                self.chars += sum(map(len, new))
-                found = np.fromiter(map(self.index.get, some), np.int64, len(some))
-            at[rest] = found
-            if not self.hot:
-                often = np.bincount(at, minlength=1)
-                names = dict(zip(at.tolist(), chunks))
-                self.hot = {names[k]: k for k in np.argsort(-often, kind="stable")[: self.HOT].tolist() if often[k] > 1}
-            lengths = ids.lengths[at]
-            ends = np.cumsum(lengths)
-            ids = ids.take(at)
-            first = 0
-            for i, words in run:
-                last = first + len(words)
-                out[i] = ids[int(ends[first] - lengths[first]) + self.spaced : int(ends[last - 1])]
-                first = last
         return out
 
 
