@@ -1,17 +1,19 @@
-"""Katz backoff language model of order 2, its counts in partitioned tables, and whole texts scored by it.
+"""Katz backoff language model of any order, its counts in partitioned tables, and whole texts scored by it.
 
-Tokens are words (A-Z lowered, split at ASCII white space) and one end for each text. A seen pair
-(v, w) has probability d(c) c / c(v); an unseen one alpha(v) p(w); p(w) is a discounted share of
-all tokens, and what it leaves belongs to one unknown word. alpha(v) is exactly what v's pairs
-leave over what their second words leave of p, so that every context sums to one. An unseen
-context backs off with weight one.
+Tokens are words (A-Z lowered, split at ASCII white space) and one end for each text. A seen n-gram,
+word w after context v, has probability d(c) c / c(v); an unseen one alpha(v) times the probability
+of w after v without its first word, and so on down to p(w), a discounted share of all tokens; what
+that leaves belongs to one unknown word. alpha(v) is exactly what v's n-grams leave over what their
+last words leave one order below, so that every context sums to one. An unseen context backs off
+with weight one. A text has one place before its first token, so that its first words have shorter
+contexts.
 
 Discounts are Good-Turing's, in Katz's form up to SMALL and by a log-linear fit of the counts of
 counts beyond (and where the raw ones give none between 0 and 1), so that no context is left
 without mass for the unseen.
 
 Work goes by blocks of documents and buckets of keys. A block's text becomes one row of word keys
-and places; it asks for each distinct word and pair once, with its training count, at the bucket
+and places; it asks for each distinct word and n-gram once, with its training count, at the bucket
 of the key's hash, which adds up the counts of all blocks and answers in the block's order. So a
 frequent word costs one entry a block, tables are partitioned by key, and no group grows with a
 word. Keys are 64-bit hashes.
@@ -120,38 +122,59 @@ def blocks(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, block_tokens:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+class Level:
+    """A block's n-grams of one order: each token that has a whole context, and the distinct n-grams in key order."""
+
+    def __init__(self, tokens: slice | np.ndarray, context: np.ndarray, context_keys: np.ndarray, word_keys: np.ndarray):
+        # Places of the tokens in the block; all else is by these tokens, contexts as places among their keys.
+        self.tokens, self.context, self.context_keys = tokens, context, context_keys
+        gram = mix(context_keys[context] * np.uint64(0x9E3779B97F4A7C15) + word_keys)
+        self.order = np.argsort(gram, kind="stable")
+        head = np.ones(len(gram), bool)
+        head[1:] = np.diff(gram[self.order]) != 0
+        self.keys = gram[self.order][head]
+        self.gram = np.empty(len(gram), np.int64)
+        self.gram[self.order] = np.cumsum(head) - 1
+        self.example = self.order[head]  # a token with each n-gram
+        self.heads = np.flatnonzero(head)
+
+    def counts(self, learnt: np.ndarray) -> np.ndarray:
+        """How often each n-gram occurs among the learnt of the block's tokens."""
+        return np.add.reduceat(learnt[self.tokens][self.order].astype(np.int64), self.heads)
+
+
 class Block:
-    """A block's tokens, and its distinct words and pairs in key order."""
+    """A block's tokens, its distinct words, and the n-grams of orders 2 and more."""
 
-    def __init__(self, lengths: bytes, held: bytes, keys: bytes, places: bytes):
+    def __init__(self, lengths: bytes, held: bytes, keys: bytes, places: bytes, order: int):
         self.lengths = unpacked(lengths, np.uint32).astype(np.int64)
         self.held = np.frombuffer(held, np.uint8).astype(bool)
         self.keys = unpack_keys(keys)
         self.word = unpacked(places, np.uint32).astype(np.int64)
-        first = np.cumsum(self.lengths) - self.lengths
-        # The context of each token, by place; after the last word's place comes that of the start.
-        self.context = np.empty(len(self.word), np.int64)
-        self.context[1:] = self.word[:-1]
-        self.context[first] = len(self.keys)
-        self.context_keys = np.append(self.keys, START)
         self.learnt = np.repeat(~self.held, self.lengths)
-        pair = mix(self.context_keys[self.context] * np.uint64(0x9E3779B97F4A7C15) + self.keys[self.word])
-        order = np.argsort(pair, kind="stable")
-        head = np.concatenate([[True], np.diff(pair[order]) != 0])
-        self.pairs = pair[order][head]
-        self.pair = np.empty(len(pair), np.int64)
-        self.pair[order] = np.cumsum(head) - 1
-        self.example = order[head]  # a token with each pair
-        self.pair_heads, self.pair_order = np.flatnonzero(head), order
+        first = np.cumsum(self.lengths) - self.lengths
+        self.levels: dict[int, Level] = {}
+        if order > 1:
+            # The word before each token; after the last word's place comes that of the start.
+            before = np.empty(len(self.word), np.int64)
+            before[1:] = self.word[:-1]
+            before[first] = len(self.keys)
+            self.levels[2] = Level(slice(None), before, np.append(self.keys, START), self.keys[self.word])
+        for n in range(3, order + 1):
+            # A context is the shorter n-gram that ends at the token before.
+            lower, whole = self.levels[n - 1], np.zeros(len(self.word), np.int64)
+            whole[lower.tokens] = lower.gram
+            tokens = np.flatnonzero(np.arange(len(self.word)) - np.repeat(first, self.lengths) >= n - 2)
+            self.levels[n] = Level(tokens, whole[tokens - 1], lower.keys, self.keys[self.word[tokens]])
 
     def asked(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(order, keys, training counts); the start counts as a word of the first order, once for each learnt text."""
-        words = np.bincount(self.word[self.learnt], minlength=len(self.keys))
-        yield 1, self.keys, words
-        yield 2, self.pairs, np.add.reduceat(self.learnt[self.pair_order].astype(np.int64), self.pair_heads)
+        """(order, keys, training counts)."""
+        yield 1, self.keys, np.bincount(self.word[self.learnt], minlength=len(self.keys))
+        for n, level in self.levels.items():
+            yield n, level.keys, level.counts(self.learnt)
 
 
-def answers(stored: DataFrame, buckets: int) -> DataFrame:
+def answers(stored: DataFrame, buckets: int, order: int = 2) -> DataFrame:
     """(n, block, bucket, answer): for each key a block asks for, 2 * count + whether the block speaks for it. Block -1 has the bucket's counts of counts. One shuffle."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +182,7 @@ def answers(stored: DataFrame, buckets: int) -> DataFrame:
             for k in range(batch.num_rows):
                 block, *parts = (batch.column(c)[k].as_py() for c in range(5))
                 rows = []
-                for n, keys, counts in Block(*parts).asked():
+                for n, keys, counts in Block(*parts, order).asked():
                     ends = bucket_ends(keys, buckets)
                     for b, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
                         if hi > lo:
@@ -249,68 +272,87 @@ def known_share(found: DataFrame, discounts: Discounts, tokens: int) -> float:
 
 def in_order(answers: pd.DataFrame, n: int) -> np.ndarray:
     rows = answers[answers["n"] == n].sort_values("bucket")
-    return np.concatenate([unpacked(a, np.uint64) for a in rows["answer"]]).astype(np.int64)
+    return np.concatenate([np.zeros(0, np.uint64), *[unpacked(a, np.uint64) for a in rows["answer"]]]).astype(np.int64)
 
 
-def score(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, block_tokens: int = BLOCK_TOKENS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text; the model learns from the texts that aren't held out."""
+def score(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, order: int = 2, block_tokens: int = BLOCK_TOKENS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text; the model of the given order learns from the texts that aren't held out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     stored = written(blocks(docs, held_mod, held_rest, block_tokens), "blocks")
     total, texts = (n or 0 for n in stored.agg(F.sum("n_tokens"), F.sum("n_learnt")).first())  # texts: those learnt from
     buckets = max(1, -(-total // bucket_keys))
-    found = written(answers(stored, buckets), "answers")
+    found = written(answers(stored, buckets, order), "answers")
     sums = statistics(found)
-    one, two = (Discounts({r: sums.get((n, str(r)), 0) for r in range(1, FIT + 2)}) for n in (1, 2))
+    discounts = {n: Discounts({r: sums.get((n, str(r)), 0) for r in range(1, FIT + 2)}) for n in range(1, order + 1)}
     tokens, types = sums.get((1, "tokens"), 0), sums.get((1, "types"), 0)
-    unknown = max(1 - known_share(found, one, tokens), 1e-12) if tokens else 1.0
+    unknown = max(1 - known_share(found, discounts[1], tokens), 1e-12) if tokens else 1.0
+
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """What a block can say of its texts, and its part of the contexts' sums."""
         if not len(left):
             return pd.DataFrame([], columns=names)
         row = left.iloc[0]
-        b = Block(row["lengths"], row["held"], row["keys"], row["places"])
+        b = Block(row["lengths"], row["held"], row["keys"], row["places"], order)
         count = in_order(right, 1) >> 1
-        answer = in_order(right, 2)
-        pair_count, speaks = answer >> 1, (answer & 1).astype(bool)
-        p = np.where(count > 0, one.of(count) / max(tokens, 1), unknown)
-        log_p = np.log10(p)
-        context_count = np.append(count, texts)
-        seen_count = pair_count[b.pair]
-        seen = seen_count > 0
-        c_v = context_count[b.context]
-        log_score = np.where(seen, np.log10(np.maximum(two.of(seen_count), 1e-300)) - np.log10(np.maximum(c_v, 1)), log_p[b.word])
+        p = np.where(count > 0, discounts[1].of(count) / max(tokens, 1), unknown)
         doc = np.repeat(np.arange(len(b.lengths)), b.lengths)
+        counts, context_counts, speaks = {}, {2: np.append(count, texts)}, {}
+        for n in b.levels:
+            answer = in_order(right, n)
+            counts[n], speaks[n] = answer >> 1, (answer & 1).astype(bool)
+            context_counts[n + 1] = counts[n]
+        out = []
+        # From the highest order down: a token whose n-gram was seen is done, any other takes alpha of a seen context along.
+        log_score, done = np.zeros(len(b.word)), np.zeros(len(b.word), bool)
+        for n in sorted(b.levels, reverse=True):
+            level, c = b.levels[n], counts[n]
+            c_v = context_counts[n][level.context]
+            seen_count = c[level.gram]
+            open_ = ~done[level.tokens]
+            seen = open_ & (seen_count > 0)
+            log_score[level.tokens] += np.where(seen, np.log10(np.maximum(discounts[n].of(seen_count), 1e-300)) - np.log10(np.maximum(c_v, 1)), 0.0)
+            done[level.tokens] |= seen
+            # Texts ask for alpha of a context once for each open token after it.
+            ask = np.flatnonzero(open_ & ~seen & (c_v > 0))
+            size = len(level.context_keys)
+            wanted, times = np.unique(doc[level.tokens][ask] * np.int64(size) + level.context[ask], return_counts=True)
+            # Contexts whose sums this block has a part of, or asks for, in the order of their keys.
+            own = level.example[speaks[n]]
+            v, c = level.context[own], c[speaks[n]]
+            if n == 2:
+                below = p[b.word[level.tokens][own]]
+            else:
+                lower = b.levels[n - 1]
+                place = np.zeros(len(b.word), np.int64)
+                place[lower.tokens] = np.arange(len(lower.gram))
+                at = place[level.tokens[own]]
+                below = discounts[n - 1].of(counts[n - 1][lower.gram[at]]) / context_counts[n - 1][lower.context[at]]
+            s1 = np.bincount(v, discounts[n].of(c), size)
+            s2 = np.bincount(v, below, size)
+            used = np.zeros(size, bool)
+            used[v] = True
+            used[level.context[ask]] = True
+            some = np.flatnonzero(used)
+            ranked = some[np.argsort(level.context_keys[some], kind="stable")]
+            place = np.zeros(size, np.int64)
+            place[ranked] = np.arange(len(ranked))
+            entry = packed(np.array([wanted // max(size, 1), place[wanted % max(size, 1)], times], np.int64))
+            out.append((int(key[0]), n, -1, None, None, None, entry))
+            keys = level.context_keys[ranked]
+            ends = bucket_ends(keys, buckets)
+            s = np.array([s1[ranked] / np.maximum(context_counts[n][ranked], 1), s2[ranked]])
+            for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                if hi > lo:
+                    out.append((int(key[0]), n, k, None, pack_keys(keys[lo:hi]), None, packed(s[:, lo:hi])))
+        log_score[~done] += np.log10(p)[b.word[~done]]
         base = np.log10(count + 1.0) - np.log10(tokens + types + 1.0)
         per_doc = [np.bincount(doc, x, len(b.lengths)) for x in (count[b.word] > 0, base[b.word], log_score)]
-        # Texts ask for alpha of a context once for each unseen pair in it.
-        ask = np.flatnonzero(~seen & (c_v > 0))
-        pair = doc[ask] * np.int64(len(b.context_keys)) + b.context[ask]
-        wanted, times = np.unique(pair, return_counts=True)
-        # Contexts whose sums this block has a part of, or asks for, in the order of their keys.
-        own = b.example[speaks]
-        v, w, c = b.context[own], b.word[own], pair_count[speaks]
-        s1 = np.bincount(v, two.of(c), len(b.context_keys))
-        s2 = np.bincount(v, p[w], len(b.context_keys))
-        used = np.zeros(len(b.context_keys), bool)
-        used[v] = True
-        used[b.context[ask]] = True
-        some = np.flatnonzero(used)
-        order = some[np.argsort(b.context_keys[some], kind="stable")]
-        place = np.zeros(len(b.context_keys), np.int64)
-        place[order] = np.arange(len(order))
-        entry = packed(np.array([wanted // len(b.context_keys), place[wanted % len(b.context_keys)], times], np.int64))
-        rows = [(int(key[0]), -1, row["doc_ids"], row["lengths"], row["held"], packed(np.array(per_doc)), entry)]
-        keys = b.context_keys[order]
-        ends = bucket_ends(keys, buckets)
-        s = np.array([s1[order] / np.maximum(context_count[order], 1), s2[order]])
-        for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-            if hi > lo:
-                rows.append((int(key[0]), k, None, pack_keys(keys[lo:hi]), None, packed(s[:, lo:hi]), None))
-        return pd.DataFrame(rows, columns=names)
-
-    names = ["block", "bucket", "doc_ids", "a", "b", "c", "d"]
+        out.append((int(key[0]), 1, -1, row["doc_ids"], row["lengths"], row["held"], packed(np.array(per_doc))))
+        return pd.DataFrame(out, columns=names)
+
+    names = ["block", "n", "bucket", "doc_ids", "a", "b", "c"]
     left = stored.drop("n_tokens", "n_learnt").groupBy("block")
-    halves = left.cogroup(found.where("block >= 0").groupBy("block")).applyInPandas(meet, f"block long, bucket int, doc_ids array<{kind}>, a binary, b binary, c binary, d binary")
+    halves = left.cogroup(found.where("block >= 0").groupBy("block")).applyInPandas(meet, f"block long, n int, bucket int, doc_ids array<{kind}>, a binary, b binary, c binary")
     halves = written(halves, "halves")
 
     def weigh(group: pd.DataFrame) -> pd.DataFrame:
@@ -322,20 +364,23 @@ def score(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, block_tokens:
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         left1, left2 = (1 - np.bincount(at, x, len(distinct)) for x in s)
         alpha = np.log10(np.maximum(left1, 1e-15)) - np.log10(np.maximum(left2, 1e-15))
-        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "alpha": [packed(a) for a in np.split(alpha[at], ends[:-1])]})
+        return pd.DataFrame({"block": group["block"], "n": group["n"], "bucket": group["bucket"], "alpha": [packed(a) for a in np.split(alpha[at], ends[:-1])]})
 
-    alphas = written(halves.where("bucket >= 0").select("block", "bucket", "a", "c").groupBy("bucket").applyInPandas(weigh, "block long, bucket int, alpha binary"), "alphas")
+    parts = halves.where("bucket >= 0").select("block", "n", "bucket", "a", "c").groupBy("n", "bucket")
+    alphas = written(parts.applyInPandas(weigh, "block long, n int, bucket int, alpha binary"), "alphas")
 
     def close(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame([], columns=out_names)
-        row = left.iloc[0]
+        row = left[left["n"] == 1].iloc[0]
         lengths, held = unpacked(row["a"], np.uint32).astype(np.int64), np.frombuffer(row["b"], np.uint8).astype(bool)
-        known, base, partial = unpacked(row["c"], np.float64).reshape(3, -1)
-        doc, at, times = unpacked(row["d"], np.int64).reshape(3, -1)
-        parts = [unpacked(a, np.float64) for a in right.sort_values("bucket")["alpha"]]
-        alpha = np.concatenate(parts) if parts else np.zeros(0)
-        total = partial + np.bincount(doc, alpha[at] * times, len(lengths))
+        known, base, total = unpacked(row["c"], np.float64).reshape(3, -1)
+        right = right.sort_values("bucket")
+        for n, entry in zip(left["n"], left["c"]):
+            if n > 1:
+                doc, at, times = unpacked(entry, np.int64).reshape(3, -1)
+                alpha = np.concatenate([np.zeros(0), *[unpacked(a, np.float64) for a in right.loc[right["n"] == n, "alpha"]]])
+                total = total + np.bincount(doc, alpha[at] * times, len(lengths))
         return pd.DataFrame(
             {"doc_id": pd.Series(list(row["doc_ids"]), dtype=object), "held_out": held, "n_tokens": lengths, "n_known": np.rint(known).astype(np.int64), "train_tokens": np.int64(tokens), "base_score": base, "score": total},
             columns=out_names,

@@ -2,6 +2,7 @@ import collections
 import math
 
 import numpy as np
+import pytest
 
 from lakewright.llm import katz
 from lakewright.llm.shared import crc_of_id
@@ -9,33 +10,64 @@ from lakewright.llm.shared import crc_of_id
 from .fixtures import clashing, docs, empty
 
 
-def brute(rows):
+def discounted(times):
+    """count -> discounted count, from how often each count occurs: Katz's discounts up to 5, a line through the logarithms beyond."""
+    r = [k for k in range(1, 33) if times.get(k)]
+    slope = -2.0
+    if len(r) > 1:
+        width = [(r[min(i + 1, len(r) - 1)] - r[max(i - 1, 0)]) / (1 if i in (0, len(r) - 1) else 2) for i in range(len(r))]
+        x, y = [math.log(k) for k in r], [math.log(times[k] / d) for k, d in zip(r, width)]
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
+    slope = min(slope, -1.05)
+    over = 6 * times.get(6, 0) / times[1] if times.get(1) else 1.0
+
+    def of(c):
+        if c <= 5 and over < 1 and times.get(c) and times.get(c + 1):
+            d = ((c + 1) * times[c + 1] / (c * times[c]) - over) / (1 - over)
+            if 0 < d < 1:
+                return d * c
+        return c * (1 + 1 / c) ** (slope + 1)
+
+    return of
+
+
+def brute(rows, order=2):
     """(n_tokens, n_known, train tokens, base, score) of each (id, text), by dictionaries."""
     tokens = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
     learnt = [w for i, w in tokens if crc_of_id(i) % 7 != 2]
-    c1 = collections.Counter(x for w in learnt for x in w)
-    c2 = collections.Counter(p for w in learnt for p in zip(["<s>", *w], w))
-    n = sum(c1.values())
-    one, two = (katz.Discounts(collections.Counter(c.values())) for c in (c1, c2))
-    of = lambda d, c: float(d.of(np.array([c]))[0])
-    unknown = 1 - sum(of(one, c) for c in c1.values()) / n
-    share = {w: of(one, c) / n for w, c in c1.items()}
-    p = lambda w: share.get(w, unknown)
-    assert abs(sum(share.values()) + unknown - 1) < 1e-9
-    context = dict(c1) | {"<s>": len(learnt)}
-    after = collections.defaultdict(list)
-    for (v, w), c in c2.items():
-        after[v].append((w, of(two, c) / context[v]))
-    alpha = {v: (1 - sum(q for _, q in l)) / (1 - sum(p(w) for w, _ in l)) for v, l in after.items()}
-    seen = {(v, w): q for v, l in after.items() for w, q in l}
-    for k, (v, l) in enumerate(after.items()):  # every context sums to one; the first ones word by word
-        rest = sum(p(w) for w in c1 if (v, w) not in seen) + unknown if k < 40 else 1 - sum(p(w) for w, _ in l)
-        assert abs(sum(q for _, q in l) + alpha[v] * rest - 1) < 1e-9
+    context = lambda w, k, n: tuple(["<s>", *w][k + 2 - n : k + 1]) if k + 2 >= n else None
+    counts = {n: collections.Counter((context(w, k, n), x) for w in learnt for k, x in enumerate(w) if context(w, k, n) is not None) for n in range(1, order + 1)}
+    of = {n: discounted(collections.Counter(c.values())) for n, c in counts.items()}
+    total = {n: collections.Counter() for n in counts}
+    for n, c in counts.items():
+        for (v, _), k in c.items():
+            total[n][v] += k
+    size = total[1][()]
+    unknown = 1 - sum(of[1](c) for c in counts[1].values()) / size
+    after = {n: collections.defaultdict(list) for n in counts}
+    for n, c in counts.items():
+        for v, w in c:
+            after[n][v].append(w)
+    alpha = {}
+
+    def p(n, v, w):
+        if (v, w) in counts[n]:
+            return of[n](counts[n][v, w]) / total[n][v]
+        return unknown if n == 1 else (alpha[v] if v in after[n] else 1) * p(n - 1, v[1:], w)
+
+    known = [w for (_, w) in counts[1]]
+    assert abs(sum(p(1, (), w) for w in known) + unknown - 1) < 1e-9
+    for n in range(2, order + 1):
+        for k, (v, words) in enumerate(after[n].items()):
+            alpha[v] = (1 - sum(p(n, v, w) for w in words)) / (1 - sum(p(n - 1, v[1:], w) for w in words))
+            if k < 5:  # contexts sum to one, with the unknown word
+                assert abs(sum(p(n, v, w) for w in [*known, "?"]) - 1) < 1e-9
     out = []
     for i, w in tokens:
-        base = sum(math.log10((c1[x] + 1) / (n + len(c1) + 1)) for x in w)
-        score = sum(math.log10(seen[v, x]) if (v, x) in seen else math.log10(alpha.get(v, 1) * p(x)) for v, x in zip(["<s>", *w], w))
-        out.append((i, crc_of_id(i) % 7 == 2, len(w), sum(x in c1 for x in w), n, base, score))
+        base = sum(math.log10((counts[1][(), x] + 1) / (size + len(known) + 1)) for x in w)
+        score = sum(math.log10(p(m, context(w, k, m), x)) for k, x in enumerate(w) for m in [min(order, k + 2)])
+        out.append((i, crc_of_id(i) % 7 == 2, len(w), sum(((), x) in counts[1] for x in w), size, base, score))
     return out
 
 
@@ -56,6 +88,13 @@ def test_scores(spark):
     same(katz.score(clashing(df), block_tokens=500, bucket_keys=3000).collect(), brute(rows))
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_orders(spark, order):
+    df = docs(spark)
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    same(katz.score(df, order=order, block_tokens=500, bucket_keys=3000).collect(), brute(rows, order))
+
+
 def test_empty_and_untaught(spark):
     assert katz.score(empty(spark)).count() == 0
     held = next(i for i in range(1000) if crc_of_id(i) % 7 == 2)
