@@ -129,18 +129,18 @@ class Level:
         # Places of the tokens in the block; all else is by these tokens, contexts as places among their keys.
         self.tokens, self.context, self.context_keys = tokens, context, context_keys
         gram = mix(context_keys[context] * np.uint64(0x9E3779B97F4A7C15) + word_keys)
-        self.order = np.argsort(gram, kind="stable")
+        order = np.argsort(gram, kind="stable").astype(np.int32)
+        gram = gram[order]
         head = np.ones(len(gram), bool)
-        head[1:] = np.diff(gram[self.order]) != 0
-        self.keys = gram[self.order][head]
-        self.gram = np.empty(len(gram), np.int64)
-        self.gram[self.order] = np.cumsum(head) - 1
-        self.example = self.order[head]  # a token with each n-gram
-        self.heads = np.flatnonzero(head)
+        np.not_equal(gram[1:], gram[:-1], out=head[1:])
+        self.keys = gram[head]
+        self.gram = np.empty(len(gram), np.int32)
+        self.gram[order] = np.cumsum(head, dtype=np.int32) - np.int32(1)
+        self.example = order[head]  # a token with each n-gram
 
     def counts(self, learnt: np.ndarray) -> np.ndarray:
         """How often each n-gram occurs among the learnt of the block's tokens."""
-        return np.add.reduceat(learnt[self.tokens][self.order].astype(np.int64), self.heads)
+        return np.bincount(self.gram[learnt[self.tokens]], minlength=len(self.keys))
 
 
 class Block:
@@ -150,19 +150,19 @@ class Block:
         self.lengths = unpacked(lengths, np.uint32).astype(np.int64)
         self.held = np.frombuffer(held, np.uint8).astype(bool)
         self.keys = unpack_keys(keys)
-        self.word = unpacked(places, np.uint32).astype(np.int64)
+        self.word = unpacked(places, np.uint32).astype(np.int32)
         self.learnt = np.repeat(~self.held, self.lengths)
         first = np.cumsum(self.lengths) - self.lengths
         self.levels: dict[int, Level] = {}
         if order > 1:
             # The word before each token; after the last word's place comes that of the start.
-            before = np.empty(len(self.word), np.int64)
+            before = np.empty(len(self.word), np.int32)
             before[1:] = self.word[:-1]
             before[first] = len(self.keys)
             self.levels[2] = Level(slice(None), before, np.append(self.keys, START), self.keys[self.word])
         for n in range(3, order + 1):
             # A context is the shorter n-gram that ends at the token before.
-            lower, whole = self.levels[n - 1], np.zeros(len(self.word), np.int64)
+            lower, whole = self.levels[n - 1], np.zeros(len(self.word), np.int32)
             whole[lower.tokens] = lower.gram
             tokens = np.flatnonzero(np.arange(len(self.word)) - np.repeat(first, self.lengths) >= n - 2)
             self.levels[n] = Level(tokens, whole[tokens - 1], lower.keys, self.keys[self.word[tokens]])
@@ -295,7 +295,7 @@ def score(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, order: int = 2
         b = Block(row["lengths"], row["held"], row["keys"], row["places"], order)
         count = in_order(right, 1) >> 1
         p = np.where(count > 0, discounts[1].of(count) / max(tokens, 1), unknown)
-        doc = np.repeat(np.arange(len(b.lengths)), b.lengths)
+        doc = np.repeat(np.arange(len(b.lengths), dtype=np.int32), b.lengths)
         counts, context_counts, speaks = {}, {2: np.append(count, texts)}, {}
         for n in b.levels:
             answer = in_order(right, n)
@@ -315,7 +315,7 @@ def score(docs: DataFrame, held_mod: int = 7, held_rest: int = 2, order: int = 2
             # Texts ask for alpha of a context once for each open token after it.
             ask = np.flatnonzero(open_ & ~seen & (c_v > 0))
             size = len(level.context_keys)
-            wanted, times = np.unique(doc[level.tokens][ask] * np.int64(size) + level.context[ask], return_counts=True)
+            wanted, times = np.unique(doc[level.tokens][ask].astype(np.int64) * size + level.context[ask], return_counts=True)
             # Contexts whose sums this block has a part of, or asks for, in the order of their keys.
             own = level.example[speaks[n]]
             v, c = level.context[own], c[speaks[n]]
